@@ -6,8 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_codec, chat, exact_dedup, knn, packing, token_store
-from .shared import table, written
+from . import byte_codec, chat, exact_dedup, knn, packing, quality, token_store, toxicity
+from .shared import held_out, table, written
+
+#: At most so many labelled rows teach a classifier.
+TRAIN_ROWS = 30_000
+
+
+def taught(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labelled ``text, label`` rows to learn from: none that is held out, a bounded number."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.labelled_texts(documents, labels, label, ~held_out(), TRAIN_ROWS)
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    columns = [F.col("doc_id"), held_out().alias("held_out"), F.col("score"), (F.col("score") >= threshold).cast("int").alias("predicted")]
+    return scored.select(*columns, *[c for c in scored.columns if c not in ("doc_id", "score")])
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(taught(spark, sf_dir, "toxic"))
+    return _judged(toxicity.score(table(spark, sf_dir, "documents"), model), 0.5)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.fit(taught(spark, sf_dir, "quality"))
+    return _judged(quality.score(table(spark, sf_dir, "documents"), model), 0.3)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +65,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_byte_codec, op4_chat, op6_token_store, op9_exact_dedup, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_byte_codec, op4_chat, op6_token_store, op7_quality, op9_exact_dedup, op10_top_k)}
 
 #: DuckDB's own regexp_replace and sha256 say the same as the refinement does.
 ORACLE_SQL = {
