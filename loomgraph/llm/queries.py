@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_codec, chat, exact_dedup, knn, packing, quality, token_store, toxicity
+from . import byte_codec, chat, exact_dedup, html_extract, knn, packing, quality, token_store, toxicity
 from .shared import held_out, table, written
 
 #: At most so many labelled rows teach a classifier.
@@ -57,6 +57,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
@@ -65,7 +70,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_byte_codec, op4_chat, op6_token_store, op7_quality, op9_exact_dedup, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_byte_codec, op4_chat, op6_token_store, op7_quality, op8_html_extract, op9_exact_dedup, op10_top_k)}
 
 #: DuckDB's own regexp_replace and sha256 say the same as the refinement does.
 ORACLE_SQL = {
