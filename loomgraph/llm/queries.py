@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_codec, chat, exact_dedup, html_extract, knn, packing, quality, token_store, toxicity
+from . import byte_codec, chat, exact_dedup, html_extract, knn, ngram_join, packing, quality, token_store, toxicity
 from .shared import held_out, table, written
 
 #: At most so many labelled rows teach a classifier.
@@ -51,6 +51,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.expand(turns), "chat"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     rows = token_store.read(manifest).join(token_store.starts(manifest), ["part", "seq"])
@@ -70,7 +74,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_byte_codec, op4_chat, op6_token_store, op7_quality, op8_html_extract, op9_exact_dedup, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_byte_codec, op4_chat, op5_ngram_join, op6_token_store, op7_quality, op8_html_extract, op9_exact_dedup, op10_top_k)}
 
 #: DuckDB's own regexp_replace and sha256 say the same as the refinement does.
 ORACLE_SQL = {
