@@ -1,4 +1,8 @@
-"""The registered queries over the reference's operators, and their SQL."""
+"""The registered queries over the graph and run-metric operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import graph_queries, metric_queries
+
+QUERIES = graph_queries.QUERIES | metric_queries.QUERIES
+ORACLE_SQL = graph_queries.ORACLE_SQL | metric_queries.ORACLE_SQL
