@@ -2,9 +2,18 @@
 
 A superstep joins the state with the inbox, projects the new state, joins the
 computed vertices with the edges they send along, and groups what they send by
-target, which Spark combines before the shuffle.  State, inbox and edges are
-kept hash-partitioned by vertex.  Each step's state and inbox are checkpointed,
-so a long run neither grows its plan nor loses its past with an executor.
+target, which Spark combines before the shuffle.  Each step's state and inbox
+are checkpointed, so a long run neither grows its plan nor loses its past with
+an executor.
+
+State, inbox and edges are hash-partitioned by vertex into the same number of
+partitions, and checkpoints keep that, so the messages' shuffle is the only one
+of a step: neither state nor edges move.  Adaptive execution would forget the
+partitioning of what it has run and shuffle both again in every step, so it is
+off inside the loop.  What it would do about skew is done when edges are laid
+out: vertices with more edges than a fair share of a partition, which can't be
+many, have them spread by salt.  Votes, counts and aggregators are observed
+while the checkpoints are written, without a job of their own.
 """
 
 from __future__ import annotations
@@ -13,10 +22,10 @@ import tempfile
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, undirected
 from .program import COMBINERS, Aggregator, Along, Combine, Context, PandasStep, PregelStep, QueryStep, Send, VertexProgram
 
 
@@ -69,17 +78,49 @@ def computed(joined: DataFrame, value: Column | None, halt: Column) -> DataFrame
     return joined.select(*[c for c in joined.columns if c not in ("value", "halted")], now.alias("active"), F.col("value").alias("old_value"), new.alias("value"), F.when(now, halt).otherwise(F.col("halted")).alias("halted"))
 
 
-def outbox(done: DataFrame, edges: DataFrame, sends: tuple[Send, ...]) -> DataFrame | None:
+class Edges:
+    """Edges laid out for joins with their sources, out of them and both ways."""
+
+    def __init__(self, edges: DataFrame, partitions: int | None = None):
+        self.plain, self.partitions = edges, partitions
+        self._ways: dict[Along, tuple[DataFrame, DataFrame | None]] = {}
+
+    def along(self, way: Along) -> tuple[DataFrame, DataFrame | None]:
+        """The edges, with a salt where some vertex has very many, and then those vertices with their numbers of salts."""
+        if way not in self._ways:
+            self._ways[way] = self._laid_out(self.plain if way is Along.OUT_EDGES else undirected(self.plain))
+        return self._ways[way]
+
+    def _laid_out(self, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        n = self.partitions
+        if n is None:
+            return edges, None
+        degrees = edges.groupBy("src").agg(F.count("*").alias("k"))
+        total = degrees.agg(F.sum("k")).first()[0] or 0
+        share = max(10_000, total // n)
+        hubs = [(r.src, -(-r.k // share)) for r in degrees.filter(F.col("k") > 2 * share).collect()]  # fewer than n / 2
+        if not hubs:
+            return edges.repartition(n, "src").checkpoint(), None
+        spread = edges.sparkSession.createDataFrame(hubs, f"_hub {edges.schema['src'].dataType.simpleString()}, _salts int")
+        salted = edges.join(F.broadcast(spread), F.col("src") == F.col("_hub"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("dst"), "_salts"), F.lit(0)).cast("int"))
+        return salted.drop("_hub", "_salts").repartition(n, "src", "_salt").checkpoint(), spread
+
+
+def outbox(done: DataFrame, edges: Edges | DataFrame | None, sends: tuple[Send, ...]) -> DataFrame | None:
     """All messages ``dst, msg`` that the computed vertices send."""
     out = None
+    edges = Edges(edges) if isinstance(edges, DataFrame) else edges
     for send in sends:
         who = done.filter(F.col("active") if send.when is None else F.col("active") & send.when)
         if isinstance(send.to, Along):
-            ways = edges
-            if send.to is Along.BOTH_WAYS:
-                rest = [c for c in edges.columns if c not in ("src", "dst")]
-                ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
-            some = who.join(ways, F.col("id") == F.col("src")).select("dst", send.message.alias("msg"))
+            ways, spread = edges.along(send.to)
+            if spread is None:
+                both = who.join(ways, F.col("id") == F.col("src"))
+            else:
+                who = who.join(F.broadcast(spread), F.col("id") == F.col("_hub"), "left")
+                who = who.withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+                both = who.join(ways, (F.col("id") == F.col("src")) & (F.col("_place") == F.col("_salt")))
+            some = both.select("dst", send.message.alias("msg"))
         else:
             to = who.select(send.to.alias("_to"), send.message.alias("msg"))
             array = to.schema["_to"].dataType.typeName() == "array"
@@ -173,12 +214,30 @@ def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_st
     use_shared_checkpoints(spark)
     params = params or {}
     program.load(params)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = graph.edges.repartition(n, "src").checkpoint()
-    sizes = (graph.vertices.count(), edges.count())
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _loop(graph, program, params, max_steps, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _observed(df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``df`` checkpointed, and aggregates of its rows that are taken on the way."""
+    seen = Observation()
+    kept = df.observe(seen, *[c.alias(k) for k, c in facts.items()]).checkpoint()
+    return kept, seen.get
+
+
+def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int, n: int) -> Result:
+    count = {"rows": F.count(F.lit(1))}
+    plain, edge_facts = _observed(graph.edges, count)
+    edges = Edges(plain, n)
+    ids, vertex_facts = _observed(graph.vertices.select("id").repartition(n, "id"), count)
+    sizes = (vertex_facts["rows"], edge_facts["rows"])
     aggregated = {k: a.initial for k, a in program.aggregators.items()}
     context = Context(0, *sizes, aggregated, params)
-    state = graph.vertices.select("id")
+    state = ids
     if (own := program.vertex_columns(graph)) is not None:
         state = state.join(own, "id", "left")
     constant = [c for c in state.columns if c != "id"]
@@ -193,38 +252,37 @@ def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_st
         step = program.step(context)
         joined = with_inbox(state, inbox)
         messages = None
+        aggregate: dict[str, Column] = {}
         if isinstance(step, PandasStep):
-            done = _pandas(joined, edges, step, context).checkpoint()
-            messages = done.filter("active").select(F.explode("_sent").alias("_m")).select("_m.dst", "_m.msg")
-            aggregate: dict[str, Column] = {}
+            done = _pandas(joined, edges.plain, step, context)
         elif isinstance(step, QueryStep):
-            done = ask(joined, edges, step).checkpoint()
-            aggregate = step.aggregate
+            done, aggregate = ask(joined, edges.plain, step), step.aggregate
         else:
-            done = computed(joined, step.value, step.halt).checkpoint()
+            done, aggregate = computed(joined, step.value, step.halt), step.aggregate
+        # Halting votes, counts and aggregators while the state is written.
+        facts = {"computed": F.count_if("active"), "all": F.coalesce(F.bool_and(F.when(F.col("active"), F.col("halted"))), F.lit(True)), "awake": F.count_if(~F.col("halted"))}
+        facts |= {f"agg_{k}": program.aggregators[k].how(F.when(F.col("active"), c)) for k, c in aggregate.items()}
+        done, row = _observed(done, facts)
+        if isinstance(step, PandasStep):
+            messages = done.filter("active").select(F.explode("_sent").alias("_m")).select("_m.dst", "_m.msg")
+        elif isinstance(step, PregelStep):
             messages = outbox(done, edges, step.sends)
-            aggregate = step.aggregate
-        # Halting votes, counts and aggregators in one pass over the state.
-        facts = [F.count_if("active").alias("_computed"), F.coalesce(F.bool_and(F.when(F.col("active"), F.col("halted"))), F.lit(True)).alias("_all"), F.count_if(~F.col("halted")).alias("_awake")]
-        row = done.agg(*facts, *[program.aggregators[k].how(F.when(F.col("active"), c)).alias(f"agg_{k}") for k, c in aggregate.items()]).first()
         inbox, sent = None, 0
         if messages is not None:
-            inbox = combine(messages, step.combine).checkpoint()
-            sent = inbox.count()  # before unknown targets are dropped
+            inbox, seen = _observed(combine(messages, step.combine), count)
+            sent = seen["rows"]  # before unknown targets are dropped
         if isinstance(step, PregelStep) and (step.edge_value is not None or step.edge_target is not None or step.add_edges):
-            edges = _changed_edges(edges, done, step).repartition(n, "src").checkpoint()
+            edges = Edges(_changed_edges(edges.plain, done, step).checkpoint(), n)
         for name, a in program.aggregators.items():
-            now = row[f"agg_{name}"] if name in aggregate else None
-            aggregated[name] = _next(a, aggregated[name], now)
+            aggregated[name] = _next(a, aggregated[name], row.get(f"agg_{name}"))
         state = done.select("id", *constant, "value", "halted")
-        record = {"step": number, "computed": row["_computed"], "not_halted": row["_awake"], "targets": sent, "seconds": time.monotonic() - started, "aggregated": dict(aggregated)}
+        record = {"step": number, "computed": row["computed"], "not_halted": row["awake"], "targets": sent, "seconds": time.monotonic() - started, "aggregated": dict(aggregated)}
         history.append(record)
         program.after_step(context, record)
-        if row["_all"] and not sent:
+        if row["all"] and not sent:
             break
-        if not sent:
-            inbox = None
-    return Result(state, aggregated, history, edges, time.monotonic() - began, inbox)
+        inbox = inbox if sent else None
+    return Result(state, aggregated, history, edges.plain, time.monotonic() - began, inbox)
 
 
 def _next(a: Aggregator, before: object, now: object) -> object:
