@@ -181,10 +181,11 @@ class Model:
 
 
 def _start() -> Model:
-    own = {"article": 3, "main": 3, "p": 1, "h": 0.5, "nav": -6, "header": -4, "footer": -6, "aside": -5, "form": -5, "bad name": -5, "good name": 1, "below bad": -8, "log text": 1, "links": -3, "stops": 1, "short": -0.5, "bias": -1.5}
+    own = {"article": 3, "main": 3, "p": 3, "h": 1.5, "nav": -6, "header": -4, "footer": -6, "aside": -5, "form": -5, "bad name": -5, "good name": 1, "below bad": -8, "log text": 2, "links": -4, "stops": 0.5, "short": -1, "bias": 0}
     edges = np.full((len(TAGS), 2, 2), math.log(0.1))
     edges[:, 0, 0] = edges[:, 1, 1] = math.log(0.9)
-    edges[:2, 0] = math.log(0.5)
+    edges[:2, 0] = np.log([0.05, 0.95])
+    edges[[TAGS.index(t) for t in ("p", "h")], 1] = np.log([0.03, 0.97])
     for tag in ("nav", "header", "footer", "aside", "form"):
         edges[TAGS.index(tag), :, 1] = math.log(0.01)
     return Model(np.array([own.get(x, 0.0) for x in NAMES]), edges)
@@ -317,12 +318,20 @@ def fit(pages: DataFrame, train_pages: int = 2000, id_col: str = "page_id", html
     y, x = x[:, -1], x[:, :-1]
     # Penalised towards START, so what the pages don't show keeps its meaning; each element counts little, as its neighbours tell the same.
     w, ridge, times = START.weights.copy(), 2.0, times / max(1.0, times.sum() / 2000)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+    def loss(w: np.ndarray) -> float:
+        return float((times * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + ridge / 2 * ((w - START.weights) ** 2).sum())
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         hess = (x * (times * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (times * (y - p)) - ridge * (w - START.weights))
-        w = w + step
-        if np.abs(step).max() < 1e-7:
+        step, size = np.linalg.solve(hess, x.T @ (times * (y - p)) - ridge * (w - START.weights)), 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-7:
             break
     return Model(w, edges)
 

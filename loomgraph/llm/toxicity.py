@@ -222,11 +222,20 @@ def fit(train: DataFrame, max_units: int = 5000, prior: float = 2.0, least_z: fl
     y, x = x[:, 0], np.column_stack([np.ones(len(x)), x[:, 1:4]])
     w = np.zeros(4)
     ridge = np.diag([0.0, 0.5, 0.5, 0.5])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge + 1e-6 * np.eye(4), x.T @ (y - p) - ridge @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)).sum() + w @ ridge @ w / 2)
+
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(4)
+        step, size = np.linalg.solve(hess, x.T @ (y - p) - ridge @ w), 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     model.weights = w.tolist()
     return model
