@@ -100,10 +100,10 @@ class Edges:
         share = max(10_000, total // n)
         hubs = [(r.src, -(-r.k // share)) for r in degrees.filter(F.col("k") > 2 * share).collect()]  # fewer than n / 2
         if not hubs:
-            return edges.repartition(n, "src").checkpoint(), None
+            return _kept(edges.repartition(n, "src")), None
         spread = edges.sparkSession.createDataFrame(hubs, f"_hub {edges.schema['src'].dataType.simpleString()}, _salts int")
         salted = edges.join(F.broadcast(spread), F.col("src") == F.col("_hub"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("dst"), "_salts"), F.lit(0)).cast("int"))
-        return salted.drop("_hub", "_salts").repartition(n, "src", "_salt").checkpoint(), spread
+        return _kept(salted.drop("_hub", "_salts").repartition(n, "src", "_salt")), spread
 
 
 def outbox(done: DataFrame, edges: Edges | DataFrame | None, sends: tuple[Send, ...]) -> DataFrame | None:
@@ -161,7 +161,7 @@ def ask(joined: DataFrame, edges: DataFrame, step: QueryStep) -> DataFrame:
     asked = joined.withColumn("active", now).withColumn("old_value", F.col("value"))
     if step.query_value is not None:
         asked = asked.withColumn("value", F.when(now, step.query_value.cast(kind)).otherwise(F.col("value")))
-    asked = asked.checkpoint()
+    asked = _kept(asked)
     queries = asked.filter("active").select(F.col("id").alias("src"), F.explode(step.queries).alias("_q")).select("src", F.col("_q.dst").alias("dst"), F.col("_q.s").alias("s"))
     target = asked.select(F.col("id").alias("_target"), "value")
     if step.reads_edges:
@@ -223,12 +223,24 @@ def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_st
 
 
 def _observed(df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, dict]:
-    """``df`` checkpointed, and aggregates of its rows that are taken on the way."""
-    seen = Observation()
-    kept = df.observe(seen, *[c.alias(k) for k, c in facts.items()]).checkpoint()
+    """``df`` checkpointed, and aggregates of its rows that are taken on the way.
+
+    It is cached while the checkpoint is written, for the sake of its size: a
+    plain checkpoint keeps the estimate of its plan, where a join counts as the
+    product of its sides, and from step to step that grows without end.
+    """
+    seen, cached = Observation(), df.persist()
+    try:
+        kept = cached.observe(seen, *[c.alias(k) for k, c in facts.items()]).checkpoint()
+    finally:
+        cached.unpersist()
     return kept, seen.get
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    return _observed(df, {"rows": F.count(F.lit(1))})[0]
+
+
 def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int, n: int) -> Result:
     count = {"rows": F.count(F.lit(1))}
     plain, edge_facts = _observed(graph.edges, count)
@@ -241,7 +253,9 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int, n:
     if (own := program.vertex_columns(graph)) is not None:
         state = state.join(own, "id", "left")
     constant = [c for c in state.columns if c != "id"]
-    state = state.withColumn("value", program.initial(context)).withColumn("halted", F.lit(False)).repartition(n, "id").checkpoint()
+    # As the element of an array: a plain copy of the id would take over the partitioning's name, which joins by id look for.
+    first = F.element_at(F.array(program.initial(context)), 1)
+    state = _kept(state.withColumn("value", first).withColumn("halted", F.lit(False)).repartition(n, "id"))
     inbox: DataFrame | None = None
     history: list[dict] = []
     began = time.monotonic()
@@ -272,7 +286,7 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int, n:
             inbox, seen = _observed(combine(messages, step.combine), count)
             sent = seen["rows"]  # before unknown targets are dropped
         if isinstance(step, PregelStep) and (step.edge_value is not None or step.edge_target is not None or step.add_edges):
-            edges = Edges(_changed_edges(edges.plain, done, step).checkpoint(), n)
+            edges = Edges(_kept(_changed_edges(edges.plain, done, step)), n)
         for name, a in program.aggregators.items():
             aggregated[name] = _next(a, aggregated[name], row.get(f"agg_{name}"))
         state = done.select("id", *constant, "value", "halted")
