@@ -35,15 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import whole, written
 
 BUCKETS = 1 << 18
 PARTS = 16
-_MEMO = 300_000
-_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Parts of the hash range for the suffix filter's histograms, a power of two.
+RANGES = 64
+_SEED = np.uint64(0x9E3779B97F4A7C15)  # odd
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -53,20 +54,32 @@ def _stirred(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets of shingle hashes; words' hashes are kept from text to text, up to a bound."""
+    """Sets of shingle hashes, by whole-array operations on a text's bytes."""
+
+    _BLANK = np.zeros(256, bool)
+    _BLANK[[32, *range(9, 14)]] = True
+    _LETTER = _stirred(np.arange(1, 257, dtype=np.uint64) * _SEED)
 
     def __init__(self, n: int):
-        self.n, self.memo = n, {}
+        self.n, self.powers = n, np.ones(1, np.uint64)
 
     def words(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: only A-Z, only ASCII white space
-        memo = self.memo
-        found = list(map(memo.get, words))
-        if None in found:
-            if len(memo) > _MEMO:
-                memo.clear()
-            found = [memo.get(w) or memo.setdefault(w, xxhash.xxh3_64_intdigest(w) or 1) for w in words]
-        return np.array(found, np.uint64)
+        """A hash of each word: its bytes' random values times powers by their place in the word, summed."""
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)  # of bytes: only A-Z
+        blank = self._BLANK[data]
+        edges = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+        length = edges[1::2] - edges[0::2]
+        if not len(length):
+            return np.empty(0, np.uint64)
+        start = np.cumsum(length) - length
+        longest = int(length.max())
+        with np.errstate(over="ignore"):
+            if longest > len(self.powers):
+                self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * longest, _SEED)]), dtype=np.uint64)
+            letters = data[~blank]
+            place = np.arange(len(letters)) - np.repeat(start, length)
+            sums = np.add.reduceat(self._LETTER[letters] * self.powers[place], start)
+            return _stirred(sums + length.astype(np.uint64))
 
     def set(self, text: str) -> tuple[np.ndarray, bytes]:
         """The sorted distinct hashes of the shingles, and a 128-bit hash of the word sequence (empty without words)."""
@@ -76,19 +89,19 @@ class Shingler:
         sequence = xxhash.xxh3_128_digest(w.tobytes())
         n = min(self.n, len(w))
         with np.errstate(over="ignore"):
-            h = np.full(len(w) - n + 1, np.uint64(n) * _SEED)
-            for i in range(n):
-                h = _stirred(h ^ w[i : len(w) - n + 1 + i]) + _SEED
-        return np.unique(h), sequence
-
-
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """Smallest intersection with which sets of sizes a and b link: 100 i >= percent (a + b - i)."""
-    return -(-percent * (a + b) // (100 + percent))
+            # Each place of a shingle has an odd factor of its own, so order counts.
+            h = w[: len(w) - n + 1] * _SEED
+            factor = _SEED
+            for i in range(1, n):
+                factor = (factor * _SEED) ^ np.uint64(2 * i)
+                h += w[i : len(w) - n + 1 + i] * factor
+            h = _stirred(h + np.uint64(n))
+        h.sort()
+        return h[np.concatenate(([True], h[1:] != h[:-1]))], sequence
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """So many of a set's first shingles hold one of any linked set's: n less the least overlap with the smallest partner, plus 1."""
+    """So many of a set's first shingles hold one of any linked set's: n less the least overlap with any partner, plus 1."""
     return n - -(-percent * n // 100) + 1
 
 
@@ -103,9 +116,21 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total = Shingler(n), np.zeros(BUCKETS, np.int64)
+        kept: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> None:
+            np.add(total, np.bincount(np.concatenate([np.empty(0, np.int64), *kept]), minlength=BUCKETS), out=total)
+            kept.clear()
+
         for batch in batches:
             for text in batch.column(0):
-                total += np.bincount((shingler.set(text.as_py())[0] % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                kept.append((shingler.set(text.as_py())[0] % np.uint64(BUCKETS)).astype(np.int64))
+                size += len(kept[-1])
+                if size > 1_000_000:
+                    flush()
+                    size = 0
+        flush()
         for part, some in enumerate(total.reshape(PARTS, -1)):
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([some.astype("<u4").tobytes()], pa.binary())], ["part", "counts"])
@@ -128,11 +153,11 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     return table.ravel()
 
 
-_KEYED = "doc_id long, sequence binary, n int, prefix array<long>, histogram array<int>"
+_KEYED = "doc_id long, sequence binary, n int, prefix array<long>, histogram array<smallint>"
 
 
 def keyed(docs: DataFrame, n: int, percent: int, table: np.ndarray) -> DataFrame:
-    """Each document's sequence hash, set size, prefix (rare first), and histogram of its whole set over ``PARTS`` parts."""
+    """Each document's sequence hash, set size, prefix (rare first), and histogram of its whole set over ``RANGES`` parts of the hashes' range."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.minimum(table, 0xFFFFFFFF).astype(np.uint32))
 
@@ -152,11 +177,11 @@ def keyed(docs: DataFrame, n: int, percent: int, table: np.ndarray) -> DataFrame
                     first = some[order]
                 else:
                     first = s[np.lexsort((s, often))]
-                parts = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS) if len(s) else np.zeros(PARTS, int)
-                for column, value in zip(out, (sequence, len(s), first.view(np.int64), parts.tolist()), strict=True):
+                parts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+                for column, value in zip(out, (sequence, len(s), first.view(np.int64), np.minimum(parts, 32767).astype(np.int16)), strict=True):
                     column.append(value)
             prefixes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out[2])]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *out[2]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), prefixes, pa.array(out[3], pa.list_(pa.int32()))], ["doc_id", "sequence", "n", "prefix", "histogram"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), prefixes, pa.array(out[3], pa.list_(pa.int16()))], ["doc_id", "sequence", "n", "prefix", "histogram"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, _KEYED)
 
@@ -215,22 +240,39 @@ def _verified(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataF
     return ordered.select("head", "turn", "doc_id", "text").mapInArrow(compare, "a long, b long")
 
 
+def _fits(percent: int) -> Column:
+    """Length and positional filters of two sets, of sizes na and nb, that share the shingles at places pa and pb.
+
+    A linked pair passes where its first shared shingle is looked at: before
+    it nothing is shared, so the two share at most it and what lies behind it.
+    Elsewhere the pair may be turned down.
+    """
+    lengths = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return lengths & (most * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb")))
+
+
 def _candidates(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a > b) that pass the filters, each once, from a row (a, na, pa, b, nb, pb) for each shingle where two sets met."""
-    least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    fits = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")  # lengths
-    # Positions: at most so many of the shared ones lie before and behind this one.
-    fits &= F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= least
+    """Pairs (a > b), each once, that the suffix filter lets pass, from sets (a, na, b, nb) that met."""
     up = F.col("a") > F.col("b")
-    pairs = met.filter(fits & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    # The suffix filter: what two sets can share by the counts of their parts.
+    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+    # What two sets can share by the counts of their parts.
     of = lambda k: sizes.select(F.col("doc_id").alias(k), F.col("histogram").alias(f"h{k}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    return both.filter(most >= least).select("a", "b").distinct()
+    most = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.when(F.greatest(x, y) == 32767, 1 << 30).otherwise(F.least(x, y).cast("int"))), F.lit(0).cast("long"), lambda t, x: t + x)
+    return both.filter(most * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` more: only the classes that they join are worked on."""
+    of = lambda k: labels.select(F.col("id").alias(k), F.col("label").alias(f"l{k}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(between)
+    moved = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+    return written(moved.unionByName(merged.join(labels, "id", "left_anti")), "labels")
 
-def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document: its set's size and the smallest id that links reach."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).filter("doc_id IS NOT NULL")
     sets = written(keyed(texts, n, percent, frequencies(texts, n)), "sets")
@@ -243,17 +285,16 @@ def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 12
     sizes = sets.select("doc_id", "histogram")
 
     # First round: every set of a shingle meets the one of the shingle's smallest id.
-    side = lambda df, k: df.select("shingle", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"))
+    side = lambda df, k, *more: df.select("shingle", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), *[F.col(c).alias(f"{c}_{k}") for c in more])
     used = lists.filter(F.col("doc_id") == F.col("head"))
-    met = side(lists.filter(F.col("doc_id") != F.col("head")), "a").join(side(used, "b"), "shingle")
+    met = side(lists.filter(F.col("doc_id") != F.col("head")), "a").join(side(used, "b"), "shingle").filter(_fits(percent))
     tried = written(_candidates(met, sizes, percent), "pairs")
-    links = written(_verified(texts, tried, n, percent), "verified")
+    labels = components(written(_verified(texts, tried, n, percent), "verified"))
     used = used.select("shingle", "doc_id")
 
     while True:
-        labels = components(links)
-        now = lists.drop("head").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         # A shingle is done when the sets of it that haven't been heads are all in one class.
+        now = lists.drop("head").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         free = now.join(used, ["shingle", "doc_id"], "left_anti")
         mixed = free.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("shingle")
         free = written(free.join(mixed, "shingle"), "open")
@@ -262,14 +303,16 @@ def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 12
         # The next heads: sets of a shingle's smallest classes first, so that its largest class needn't give any.
         many = free.groupBy("shingle", "label").agg(F.count("*").alias("many"))
         rank = F.row_number().over(Window.partitionBy("shingle").orderBy("many", "label", "doc_id"))
-        chosen = free.join(many, ["shingle", "label"]).withColumn("r", rank).filter(F.col("r") <= heads)
-        chosen = written(chosen.select("shingle", "doc_id", "n", "pos", "label"), "heads")
-        met = free.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-        met = met.join(chosen.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb")), "shingle").filter("la <> lb")
+        chosen = written(free.join(many, ["shingle", "label"]).withColumn("r", rank).filter(F.col("r") <= heads).drop("r", "many"), "heads")
+        differ = _fits(percent) & (F.col("label_a") != F.col("label_b"))
+        met = side(free, "a", "label").join(side(chosen, "b", "label"), "shingle").filter(differ)
         fresh = written(_candidates(met, sizes, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(written(_verified(texts, fresh, n, percent), "verified"))
-        tried = tried.unionByName(fresh)
         used = used.unionByName(chosen.select("shingle", "doc_id"))
+        if fresh.limit(1).count():
+            tried = tried.unionByName(fresh)
+            links = written(_verified(texts, fresh, n, percent), "verified")
+            if links.limit(1).count():
+                labels = _joined(labels, links)
 
     # Members take their sequence's class.
     of = first.withColumnRenamed("doc_id", "id").join(labels, "id", "left").select("sequence", F.coalesce("label", "id").alias("component_id"))
