@@ -57,8 +57,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    rows = token_store.read(manifest).join(token_store.starts(manifest), ["part", "seq"])
-    return rows.select(F.col("key").alias("doc_id"), (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return token_store.read(manifest).withColumnRenamed("key", "doc_id")
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

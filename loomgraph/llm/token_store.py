@@ -195,37 +195,38 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None =
     return written(ordered.mapInArrow(shards, MANIFEST), "token-manifest")
 
 
-READ = "part int, seq int, row long, key long, before long, n_tokens long, ids_crc32 long"
+def located(manifest: DataFrame) -> DataFrame:
+    """The manifest with ``first``: the number of ids in all shards before each.
+
+    Sums go over the parts first: the one window over all has a row for each
+    part, not for each shard.
+    """
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("_ids"))
+    before = F.coalesce(F.sum("_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return manifest.withColumn("_in", within).join(parts.select("part", before.alias("_before")), "part").select(*manifest.columns, (F.col("_before") + F.col("_in")).alias("first"))
+
+
+READ = "key long, start long, n_tokens long, ids_crc32 long"
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every document of the manifest's files: its place, its ids' number before it in the shard, length and crc32.
+    """Every document of the manifest's files: its key, the number of ids before it, its own, and their crc32.
 
     The crc is of the ids as little-endian unsigned 32-bit integers.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out, before = [], 0
-                for i, (key, ids) in enumerate(opened(path).documents()):
-                    out.append((part, seq, i, key, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    before += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), *[pa.int64()] * 5], strict=True)], ["part", "seq", "row", "key", "before", "n_tokens", "ids_crc32"])
-
-    return manifest.select("part", "seq", "path").repartition("part", "seq").mapInArrow(rows, READ)
-
-
-def starts(manifest: DataFrame) -> DataFrame:
-    """``part, seq, first``: the number of ids in all shards before each.
-
-    Sums go over the parts first: the one window over all has a row for each
-    part, not for each shard.
-    """
-    parts = manifest.groupBy("part").agg(F.sum("ids").alias("_ids"))
-    before = F.coalesce(F.sum("_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return manifest.withColumn("_in", within).join(parts.select("part", before.alias("_before")), "part").select("part", "seq", (F.col("_before") + F.col("_in")).alias("first"))
+            for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = []
+                for key, ids in opened(path).documents():
+                    out.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    start += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "start", "n_tokens", "ids_crc32"])
+
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return located(manifest).select("path", "first").repartition(n, "path").mapInArrow(rows, READ)
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:
