@@ -18,6 +18,7 @@ while the checkpoints are written, without a job of their own.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import time
 from dataclasses import dataclass, field
@@ -151,23 +152,35 @@ def _changed_edges(edges: DataFrame, done: DataFrame, step: PregelStep) -> DataF
     return edges
 
 
-def ask(joined: DataFrame, edges: DataFrame, step: QueryStep) -> DataFrame:
+def ask(joined: DataFrame, edges: DataFrame, step: QueryStep, partitions: int) -> DataFrame:
     """The state after a query-answer-process step: ``msg`` holds the gathered answers at ``process``.
 
     Answers see the values that all queries wrote, and none that processing writes.
+    Vertices that are asked more often than twice a partition's fair share are
+    joined by broadcast.
     """
     now = active()
     kind = joined.schema["value"].dataType
     asked = joined.withColumn("active", now).withColumn("old_value", F.col("value"))
     if step.query_value is not None:
         asked = asked.withColumn("value", F.when(now, step.query_value.cast(kind)).otherwise(F.col("value")))
-    asked = _kept(asked)
+    asked, seen = _observed(asked, {"queries": F.sum(F.when(F.col("active"), F.size(step.queries)))})
     queries = asked.filter("active").select(F.col("id").alias("src"), F.explode(step.queries).alias("_q")).select("src", F.col("_q.dst").alias("dst"), F.col("_q.s").alias("s"))
     target = asked.select(F.col("id").alias("_target"), "value")
     if step.reads_edges:
         adjacent = edges.groupBy(F.col("src").alias("_from")).agg(F.collect_list("dst").alias("out"))
         target = target.join(adjacent, F.col("_target") == F.col("_from"), "left").drop("_from")
-    answers = queries.join(target, F.col("dst") == F.col("_target"), "left").select("src", step.answer.alias("answer"))
+    share = max(10_000, (seen["queries"] or 0) // partitions)
+    hubs = queries.groupBy("dst").agg(F.count("*").alias("k")).filter(F.col("k") > 2 * share).collect() if (seen["queries"] or 0) > 2 * share else []
+    if hubs:  # fewer than n / 2
+        often = F.broadcast(queries.sparkSession.createDataFrame([(r.dst,) for r in hubs], f"_hub {queries.schema['dst'].dataType.simpleString()}"))
+        hot = target.join(often, F.col("_target") == F.col("_hub"), "left_semi")
+        queries = queries.join(often, F.col("dst") == F.col("_hub"), "left")
+        same = F.col("dst") == F.col("_target")
+        met = queries.filter("_hub IS NULL").join(target, same, "left").unionByName(queries.filter("_hub IS NOT NULL").join(F.broadcast(hot), same, "left"))
+    else:
+        met = queries.join(target, F.col("dst") == F.col("_target"), "left")
+    answers = met.select("src", step.answer.alias("answer"))
     gathered = answers.groupBy("src").agg(step.gather(F.col("answer")).alias("_answers"))
     back = asked.drop("msg").join(gathered, F.col("id") == F.col("src"), "left").withColumnRenamed("_answers", "msg").drop("src")
     new = F.col("value") if step.process is None else F.when(F.col("active"), step.process.cast(kind)).otherwise(F.col("value"))
@@ -204,11 +217,12 @@ def _pandas(joined: DataFrame, edges: DataFrame, step: PandasStep, context: Cont
     return joined.groupBy("id").cogroup(edges.withColumnRenamed("src", "id").groupBy("id")).applyInPandas(one, schema)
 
 
-def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_steps: int = 10_000, partitions: int | None = None) -> Result:
-    """Runs the program until every computed vertex votes to halt and nothing has been sent, or ``max_steps``.
+def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_steps: int | None = None, partitions: int | None = None) -> Result:
+    """Runs the program until every computed vertex votes to halt and nothing has been sent.
 
-    Messages to ids that don't exist keep the run going for one more step, and
-    are then dropped.
+    There is no limit of steps unless ``max_steps`` is given; a run that isn't
+    done by then fails, as its state isn't a result.  Messages to ids that don't
+    exist keep the run going for one more step, and are then dropped.
     """
     spark = graph.vertices.sparkSession
     use_shared_checkpoints(spark)
@@ -241,7 +255,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return _observed(df, {"rows": F.count(F.lit(1))})[0]
 
 
-def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int, n: int) -> Result:
+def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | None, n: int) -> Result:
     count = {"rows": F.count(F.lit(1))}
     plain, edge_facts = _observed(graph.edges, count)
     edges = Edges(plain, n)
@@ -259,7 +273,9 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int, n:
     inbox: DataFrame | None = None
     history: list[dict] = []
     began = time.monotonic()
-    for number in range(max_steps):
+    for number in itertools.count():
+        if number == max_steps:
+            raise RuntimeError(f"{type(program).__name__} isn't done after {max_steps} supersteps")
         started = time.monotonic()
         context = Context(number, *sizes, dict(aggregated), params)
         program.before_step(context)
@@ -270,7 +286,7 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int, n:
         if isinstance(step, PandasStep):
             done = _pandas(joined, edges.plain, step, context)
         elif isinstance(step, QueryStep):
-            done, aggregate = ask(joined, edges.plain, step), step.aggregate
+            done, aggregate = ask(joined, edges.plain, step, n), step.aggregate
         else:
             done, aggregate = computed(joined, step.value, step.halt), step.aggregate
         # Halting votes, counts and aggregators while the state is written.

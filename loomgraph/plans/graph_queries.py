@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import algorithms
+from ..algorithms.programs import Components
 from ..functions import partitioning
 from ..graph import Graph, undirected
 from ..operators.engine import active_by_step, combine, computed, outbox, run, with_inbox
@@ -148,7 +149,7 @@ _CHAIN_ORDER = "SELECT o_orderkey AS id, o_custkey AS c, row_number() OVER (PART
     SELECT steps.step::INTEGER AS step, computed, coalesce(sent.targets, 0) AS targets FROM steps LEFT JOIN sent USING (step)""")
 def active_vertices_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices computed in each step of the components of the order chains, and vertices that got messages."""
-    return active_by_step(spark, algorithms.wcc(graphs.order_chains(spark, sf_dir)).history)
+    return active_by_step(spark, run(graphs.order_chains(spark, sf_dir), Components()).history)
 
 
 @query(f"""WITH RECURSIVE {PARTS_SQL}, s AS (SELECT DISTINCT src, dst FROM e), r AS (

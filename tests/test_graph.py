@@ -1,6 +1,8 @@
 """Loading, golden graphs, and what a superstep does."""
 
+import inspect
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +159,44 @@ def test_hubs_are_spread(spark):
 def test_empty_graph(spark):
     g = Graph.from_edges(spark.createDataFrame([], "src long, dst long"))
     assert algorithms.wcc(g).state.count() == 0
+
+
+def test_run_without_an_end_is_no_result(spark):
+    g = Graph.from_edges(spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long"))
+    with pytest.raises(RuntimeError, match="3 supersteps"):
+        run(g, algorithms.programs.Hops(), {"source_id": 0}, max_steps=3)
+    assert len(run(g, algorithms.programs.Hops(), {"source_id": 0}, max_steps=10).history) == 10
+    assert inspect.signature(run).parameters["max_steps"].default is None
+
+
+@pytest.mark.parametrize("order", ["rising", "valley", "shuffled"])
+def test_long_chains_take_few_steps(spark, order):
+    n = 3000
+    ids = list(range(n))
+    if order == "valley":  # the smallest id is at the end of a chain whose others fall towards its middle
+        ids = [0, *range(n - 1, 1, -2), *range(2, n, 2)]
+    elif order == "shuffled":
+        random.Random(5).shuffle(ids)
+    chain = list(zip(ids, ids[1:]))
+    g = Graph.from_edges(spark.createDataFrame([*chain, *((n + a, n + b) for a, b in chain)], "src long, dst long"))
+    found = algorithms.wcc(g)
+    assert as_dict(found.values().groupBy("value").count()) == {0: len(ids), n + min(ids): len(ids)}
+    assert len(found.history) < 60
+
+
+def test_components_of_random_graphs(spark):
+    for seed in range(2):
+        r = random.Random(seed)
+        pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)]
+        low = {x: x for p in pairs for x in p}
+        while any(low[a] != low[b] for a, b in pairs):
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        g = Graph.from_edges(spark.createDataFrame(pairs, "src long, dst long"))
+        assert as_dict(algorithms.wcc(g).values()) == low
+
+
+def test_vertices_that_many_ask(spark):
+    """A star of more leaves than a partition's share: all ask its centre."""
+    star = spark.range(1, 60_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    assert algorithms.wcc(Graph.from_edges(star)).values().filter("value = 0").count() == 60_001
