@@ -255,5 +255,30 @@ def tournament(averages: DataFrame, by: str, lower: list[str], higher: list[str
     return averages.select(by, total.alias("score"))
 
 
+def run_times(states: DataFrame, sd: DataFrame) -> DataFrame:
+    """``run, elastic_overhead_s, superstep_s, machine_s`` in whole seconds: machine time of scaling, all workers' superstep times, and their times from first to last operation."""
+    worker = states.groupBy("run", "worker").agg((F.greatest(F.max("start_ms"), F.max("stop_ms")) - F.min("start_ms")).alias("ms"))
+    machine = worker.groupBy("run").agg(F.sum("ms").alias("machine_ms"))
+    superstep = operation_spans(states, "RUN_SUPERSTEP").groupBy("run").agg(F.sum("sum_ms").alias("superstep_ms"))
+    scaling = elastic_overheads(states, sd).select("run", F.col("machine_ms").alias("elastic_overhead_ms"))
+    both = machine.join(superstep, "run", "left").join(scaling, "run", "left")
+    return both.select("run", *[F.expr(f"coalesce({c}_ms, 0) div 1000").alias(f"{c}_s") for c in ("elastic_overhead", "superstep", "machine")])
+
+
+#: Measures of a run, of which less is better; besides them, more vertices, and vertices and edges, a second are better.
+PERFORMANCE = ("makespan_s", "processing_s", "elastic_overhead_s", "superstep_s", "machine_s")
+ELASTICITY = ("accuracy_u", "accuracy_o", "accuracy_un", "accuracy_on", "accuracy_om", "instability_i", "instability_i2", "wrong_u", "wrong_o")
+
+
+def performance_tournament(averages: DataFrame, by: str) -> DataFrame:
+    """All seven comparisons of performance."""
+    return tournament(averages, by, list(PERFORMANCE), ["vps", F.col("vps") + F.col("eps")])
+
+
+def elastic_tournament(averages: DataFrame, by: str) -> DataFrame:
+    """All nine comparisons of elasticity."""
+    return tournament(averages, by, list(ELASTICITY))
+
+
 def combined_scores(first: DataFrame, second: DataFrame, by: str) -> DataFrame:
     return first.join(second.select(by, F.col("score").alias("_s")), by).select(by, (F.col("score") + F.col("_s")).alias("score"))

@@ -272,6 +272,57 @@ def tournament_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.combined_scores(m.tournament(means, "policy", ["makespan_s"]), m.tournament(means, "policy", [], ["vps", F.col("vps") + F.col("eps")]), "policy")
 
 
+# The whole tournaments of the reference, on runs that have states as well as supply and demand; three policies of two runs each.
+
+_WHOLE = f"""{_TOURNEY},
+    re AS (SELECT run, (max(greatest(start_ms, coalesce(stop_ms, start_ms))) - min(start_ms)) // 1000 AS makespan_s FROM st GROUP BY run),
+    sp AS (SELECT run, step, max(stop_ms) - min(start_ms) AS span, sum(stop_ms - start_ms)::BIGINT AS ms FROM st WHERE op = 'RUN_SUPERSTEP' AND stop_ms IS NOT NULL GROUP BY ALL),
+    pt AS (SELECT run, 1 + sum(span)::BIGINT // 1000 AS processing_s, sum(ms)::BIGINT // 1000 AS superstep_s FROM sp GROUP BY run),
+    vc AS (SELECT run, sum(event_id % 100)::BIGINT * 1000 AS vertices, sum(event_id % 1000)::BIGINT * (CASE WHEN substr(run, 2)::INTEGER % 2 = 0 THEN 1000 ELSE 2000 END) AS edges FROM ev GROUP BY run),
+    mt AS (SELECT run, sum(ms)::BIGINT // 1000 AS machine_s FROM (SELECT run, worker, max(greatest(start_ms, coalesce(stop_ms, start_ms))) - min(start_ms) AS ms FROM st GROUP BY ALL) GROUP BY run),
+    ch AS (SELECT run, step, supply, demand FROM (SELECT *, row_number() OVER (PARTITION BY run, step ORDER BY seq DESC) AS k FROM sd WHERE supply <> demand) WHERE k = 1),
+    dt AS (SELECT run, step, sum(stop_ms - start_ms)::BIGINT AS total FROM st WHERE op = 'DISTRIBUTE_DATA' AND stop_ms IS NOT NULL GROUP BY ALL),
+    eo AS (SELECT run, sum(CASE WHEN demand > supply THEN coalesce(total, 0) // supply * demand ELSE coalesce(total, 0) END)::BIGINT // 1000 AS elastic_overhead_s FROM ch LEFT JOIN dt USING (run, step) GROUP BY run),
+    pr7 AS (SELECT 'p' || (substr(run, 2)::INTEGER % 3)::VARCHAR AS policy, run, makespan_s, coalesce(processing_s, 1) AS processing_s, coalesce(superstep_s, 0) AS superstep_s, machine_s, coalesce(elastic_overhead_s, 0) AS elastic_overhead_s, vertices // coalesce(processing_s, 1) AS vps, edges // coalesce(processing_s, 1) AS eps
+        FROM re JOIN vc USING (run) JOIN mt USING (run) LEFT JOIN pt USING (run) LEFT JOIN eo USING (run)),
+    pm AS (SELECT policy, {', '.join(f'(sum({c}) // count(*))::BIGINT AS {c}' for c in (*m.PERFORMANCE, 'vps', 'eps'))} FROM pr7 GROUP BY policy),
+    pq AS (SELECT *, vps + eps AS both_ps FROM pm),
+    ps AS (SELECT a.policy, sum({' + '.join(_LESS.format(c) for c in m.PERFORMANCE)} + {_MORE.format('vps')} + {_MORE.format('both_ps')})::DOUBLE AS score FROM pq a, pq b GROUP BY a.policy),
+    em AS (SELECT 'p' || (substr(run, 2)::INTEGER % 3)::VARCHAR AS policy, {', '.join(f'round(avg({c}), 9) AS {c}' for c in m.ELASTICITY)} FROM el GROUP BY 1),
+    es AS (SELECT a.policy, sum({' + '.join(_LESS.format(c) for c in m.ELASTICITY)})::DOUBLE AS score FROM em a, em b GROUP BY a.policy)"""
+
+
+def _policy() -> Column:
+    return F.concat(F.lit("p"), (F.substring("run", 2, 9).cast("int") % 3).cast("string")).alias("policy")
+
+
+def _whole_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = states(spark, sf_dir)
+    last = F.greatest(F.max("start_ms"), F.max("stop_ms"))
+    spans = m.operation_spans(st, "RUN_SUPERSTEP").groupBy("run").agg(F.sum(F.col("last_stop") - F.col("first_start")).alias("ms"))
+    sizes = events(spark, sf_dir).groupBy("run").agg((F.sum(F.col("event_id") % 100) * 1000).alias("vertices"), (F.sum(F.col("event_id") % 1000) * 1000).alias("edges"))
+    given = st.groupBy("run").agg((last - F.min("start_ms")).alias("all_ms")).join(spans, "run", "left").join(sizes, "run").select(
+        "run", _policy(), "vertices", "edges", (F.substring("run", 2, 9).cast("int") % 2 == 0).alias("directed"),
+        F.expr("all_ms div 1000").alias("makespan_s"), F.expr("1 + coalesce(ms, 0) div 1000").alias("processing_s"),
+    )
+    measured = m.throughput(given).join(m.run_times(st, supply_demand(spark, sf_dir)), "run")
+    return m.performance_tournament(m.performance_means(measured, "policy", [*m.PERFORMANCE, "vps", "eps"]), "policy")
+
+
+@query(f"WITH {_WHOLE} SELECT policy, score FROM ps")
+def tournament_performance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven comparisons."""
+    return _whole_performance(spark, sf_dir)
+
+
+@query(f"WITH {_WHOLE} SELECT policy, ps.score + es.score AS score FROM ps JOIN es USING (policy)")
+def tournament_combined_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of elasticity and of performance, each of its whole tournament."""
+    each = _rounded(m.elasticity(supply_demand(spark, sf_dir)), 9)
+    means = each.groupBy(_policy()).agg(*[F.round(F.avg(c), 9).alias(c) for c in m.ELASTICITY])
+    return m.combined_scores(_whole_performance(spark, sf_dir), m.elastic_tournament(means, "policy"), "policy")
+
+
 @query(f"WITH {RUNS}, x AS (SELECT dataset, policy, max_by(run, started_ms * 1000000 + run) AS newest, min_by(run, started_ms * 1000000 + run) AS oldest FROM ru GROUP BY ALL) SELECT * FROM x")
 def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and the last run of each dataset and policy by starting time."""

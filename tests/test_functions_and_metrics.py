@@ -88,3 +88,21 @@ def test_replay(spark):
     sd = spark.createDataFrame([("r", 0, -1, 0, 2, 2), ("r", 1, 0, 1, 2, 2)], "run string, seq int, step int, time_ms long, supply int, demand int")
     got = policies.replay(policies.wall_clock_values(states), sd, "r", policies.averaging())
     assert got[0].kind == "grow" and got[1].kind == "shrink"
+
+
+def test_whole_performance_tournament(spark):
+    """Of two policies that tie in four measures, the other three decide."""
+    names = ["policy", *m.PERFORMANCE, "vps", "eps"]
+    rows = [("a", 5, 5, 1, 1, 1, 9, 9), ("b", 5, 5, 2, 2, 2, 9, 9)]
+    got = {r.policy: r.score for r in m.performance_tournament(spark.createDataFrame(rows, names), "policy").collect()}
+    assert got == {"a": 7 * 0.5 + 4 * 0.5 + 3, "b": 7 * 0.5 + 4 * 0.5}
+    even = [(p, *[v] * len(m.ELASTICITY)) for p, v in (("a", 2.0), ("b", 1.0))]
+    elastic = m.elastic_tournament(spark.createDataFrame(even, ["policy", *m.ELASTICITY]), "policy")
+    assert {r.policy: r.score for r in elastic.collect()} == {"a": 9 * 0.5, "b": 9 * 1.5}
+
+
+def test_run_times(spark, sd):
+    states = [("r", 0, 0, "RUN_SUPERSTEP", 0, 3000), ("r", 0, 1, "RUN_SUPERSTEP", 1000, 3500), ("r", 1, 0, "DISTRIBUTE_DATA", 4000, 16000), ("r", 3, 1, "DISTRIBUTE_DATA", 4000, 9000), ("r", 4, 1, "BARRIER", 20000, None)]
+    got = m.run_times(spark.createDataFrame(states, "run string, step int, worker int, op string, start_ms long, stop_ms long"), sd).first()
+    # Step 1 grows from 10 to 12 and step 3 shrinks; worker 0 works from 0 to 16 s, worker 1 from 1 to 20 s.
+    assert (got.elastic_overhead_s, got.superstep_s, got.machine_s) == ((12000 // 10 * 12 + 5000) // 1000, 5, 35)
