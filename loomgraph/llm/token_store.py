@@ -135,12 +135,25 @@ class Shard:
             raise KeyError(key)
         return self._take(int(slot["first"]), int(slot["ids"]))
 
-    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Each document's key, the number of ids before it, and its ids.
+
+        Place and length are what the index has for the key; only documents
+        without a key, and those that share one, take theirs from the row table.
+        """
         rows = np.frombuffer(self._read(_ROW.itemsize * self.n, self._rows), _ROW, self.n)
-        at = 0
-        for key, n in rows.tolist():
-            yield (None if key == _NULL else key), self._take(at, n)
-            at += n
+        ids = rows["ids"].copy()
+        firsts = np.cumsum(ids, dtype=np.uint64) - ids
+        real = np.flatnonzero(rows["key"] != _NULL)
+        keys, at, times = np.unique(rows["key"][real], return_index=True, return_counts=True)
+        where = slots_of(self.levels, keys)
+        slots = np.frombuffer(self._read(_SLOT.itemsize * self.keys, self._slots), _SLOT, self.keys)
+        if len(keys) != self.keys or (where < 0).any() or (where >= self.keys).any() or (slots["print"][where] != _mix(keys, 99) >> np.uint64(32)).any() or (slots["rows"][where] != times).any():
+            raise ValueError("the shard's index doesn't hold the keys of its rows")
+        single = times == 1
+        firsts[real[at[single]]], ids[real[at[single]]] = slots["first"][where[single]], slots["ids"][where[single]]
+        for key, first, n in zip(rows["key"].tolist(), firsts.tolist(), ids.tolist(), strict=True):
+            yield (None if key == _NULL else key), first, self._take(first, n)
 
 
 def opened(path: str) -> Shard:
@@ -211,7 +224,7 @@ READ = "key long, start long, n_tokens long, ids_crc32 long"
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Every document of the manifest's files: its key, the number of ids before it, its own, and their crc32.
+    """Every document of the manifest's files, found by the shards' indexes: its key, the number of ids before it, its own, and their crc32.
 
     The crc is of the ids as little-endian unsigned 32-bit integers.
     """
@@ -220,9 +233,8 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = []
-                for key, ids in opened(path).documents():
-                    out.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
+                for key, first, ids in opened(path).documents():
+                    out.append((key, start + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "start", "n_tokens", "ids_crc32"])
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

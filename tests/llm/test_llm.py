@@ -378,3 +378,20 @@ def test_pipeline(spark, documents):
         docs = spark.createDataFrame(rows, documents.schema)
     packed = pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_documents_are_found_by_the_index():
+    keys, ids = [None, 3, 5, 5, 9], [np.arange(n, dtype=np.uint32) for n in (2, 3, 1, 4, 6)]
+    raw = token_store.shard_bytes(keys, ids, 2)
+    shard = lambda b: token_store.Shard(lambda n, at: bytes(b[at : at + n]))
+    want = [(k, f, x.tolist()) for k, f, x in zip(keys, (0, 2, 5, 6, 10), ids, strict=True)]
+    found = lambda b: [(k, f, x.tolist()) for k, f, x in shard(b).documents()]
+    assert found(raw) == want
+    opened, wrong = shard(raw), bytearray(raw)
+    length = opened._rows + 16 * 4 + 8
+    wrong[length : length + 8] = bytes(8)  # the last row's length, which its key's slot has as well
+    assert found(wrong) == want
+    wrong = bytearray(raw)
+    wrong[opened._slots] ^= 1  # a fingerprint
+    with pytest.raises(ValueError, match="index"):
+        found(wrong)
