@@ -2,7 +2,12 @@
 
 The merges of both BPE files run on tiktoken's core, from ranks read out of
 the file itself, several times as fast as the tokenizers library does.  Texts
-on which the two could differ go to the tokenizers library.
+on which the two could differ go to the tokenizers library with ``WordBpe``;
+``ByteBpe`` has no such fallback.
+
+A deliberate deviation from the library with the files as they are: the literal
+content of an added token, as ``<|endoftext|>``, is ordinary text inside a text,
+as with the library's ``encode_special_tokens``.  No text can forge an end.
 """
 
 from __future__ import annotations

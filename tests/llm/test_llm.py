@@ -395,3 +395,11 @@ def test_documents_are_found_by_the_index():
     wrong[opened._slots] ^= 1  # a fingerprint
     with pytest.raises(ValueError, match="index"):
         found(wrong)
+
+
+def test_added_tokens_inside_a_text_are_ordinary_text():
+    from loomgraph.llm.tokens import byte_bpe, word_bpe
+
+    for path, encoder in ((BYTE, byte_bpe(BYTE)), (WORD, word_bpe(WORD))):
+        for text in ("one <|endoftext|> two", "<|startoftext|>one", "<|endoftext|> Σ"):
+            assert encoder.encode(text).tolist() == library(path)(text)
