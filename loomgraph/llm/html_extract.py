@@ -18,8 +18,8 @@ become one space, and the text is trimmed; blocks are joined by two line ends.
 Scripts, styles, comments, markup and form controls are never text.
 
 Defined results: a null or empty page, and one without content, gives the
-empty text; broken markup (unclosed or stray tags) is read as browsers roughly
-do; repeated pages are extracted alike; without any labelled page the built-in
+empty text; text outside all blocks is a paragraph like others; broken markup
+(unclosed or stray tags) is read as browsers roughly do; repeated pages are extracted alike; without any labelled page the built-in
 potentials of ``START`` hold; further columns aren't read.
 """
 
@@ -46,6 +46,7 @@ _BLANK = re.compile(r"\s+")
 #: Elements without content of their own, and those that begin a block (fixed by the HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 CONTROLS = frozenset("button select option input textarea label".split())
 _ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -70,10 +71,23 @@ class Node:
 
 
 def tree(page: str) -> list[Node]:
-    """Elements of a page in order, parents before children; the first is the root."""
+    """Elements of a page in order, parents before children; the first is the root.
+
+    Text outside all blocks, with the usual inline elements around it, gets a
+    paragraph of its own, as if the page had one there.
+    """
     nodes, stack, at = [Node("#root", -1)], [0], 0
+    implied: set[int] = set()
+
+    def paragraph() -> None:
+        nodes.append(Node("p", stack[-1]))
+        nodes[stack[-1]].parts.append(len(nodes) - 1)
+        stack.append(len(nodes) - 1)
+        implied.add(stack[-1])
 
     def text(raw: str) -> None:
+        if raw.strip() and not any(nodes[i].tag in BLOCK or nodes[i].tag in CONTROLS for i in stack):
+            paragraph()
         if raw:
             nodes[stack[-1]].parts.append(raw)
 
@@ -91,9 +105,14 @@ def tree(page: str) -> list[Node]:
                     del stack[depth:]
                     break
                 # An inline end tag doesn't close blocks around it.
-                if open_tag in BLOCK and tag not in BLOCK:
+                if open_tag in BLOCK and tag not in BLOCK and stack[depth] not in implied:
                     break
             continue
+        if tag in BLOCK or tag == "head":
+            if implied and (found := next((d for d, i in enumerate(stack) if i in implied), 0)):
+                del stack[found:]
+        elif tag in _INLINE and len(stack) == 1:
+            paragraph()
         if tag in _ENDS_P or tag in BLOCK:
             # A block closes an open paragraph and the inline elements inside it.
             depth = len(stack) - 1

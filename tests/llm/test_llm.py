@@ -403,3 +403,12 @@ def test_added_tokens_inside_a_text_are_ordinary_text():
     for path, encoder in ((BYTE, byte_bpe(BYTE)), (WORD, word_bpe(WORD))):
         for text in ("one <|endoftext|> two", "<|startoftext|>one", "<|endoftext|> Σ"):
             assert encoder.encode(text).tolist() == library(path)(text)
+
+
+def test_html_fragments_without_blocks():
+    text = lambda page: html_extract.text_of(page, html_extract.START)
+    assert text("Some text<br>more <b>text</b>") == "Some text more text"
+    assert text("<b>Some</b> text of a page that goes on.") == "Some text of a page that goes on."
+    assert text("<x-app><i>Inside</i> an unknown element.</x-app> After it, some more.") != ""
+    assert text("A first piece of text.<p>Then a paragraph of it.</p>And a last piece.") == "A first piece of text.\n\nThen a paragraph of it.\n\nAnd a last piece."
+    assert text("<script>var a</script>") == text("<a href=x>Home</a> <a href=y>News</a>") == text("<nav>Home</nav>") == ""
