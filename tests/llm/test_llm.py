@@ -243,6 +243,14 @@ def test_link_classes_odd(spark, odd, none):
     assert ngram_join.link_classes(spark.createDataFrame([(None, "a b"), (1, "a b")], "doc_id long, text string")).count() == 1
 
 
+def test_link_classes_repeated_ids(spark):
+    """An id with several texts is one document, in one class, by whichever text it links."""
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(3, " ".join(a)), (5, " ".join([*a[:-1], "x"])), (5, " ".join(b)), (5, ""), (5, " ".join(b)), (8, " ".join(["y", *b])), (9, "z"), (9, "z")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.link_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (5, 3), (5, 3), (8, 3), (9, 9), (9, 9)]
+
+
 # 10: top-k
 
 
