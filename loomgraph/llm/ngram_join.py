@@ -23,11 +23,12 @@ the whole sequence as one; without words, none).  Two texts link when
 
 No group emits all its pairs: the sets of a shingle meet a head, the one with
 the fewest shingles of its own, and links join classes.  Later rounds go on
-with shingles whose sets still lie in several classes: members of the smaller
-classes are the next heads, a few a round, until all sets of a shingle that
-weren't heads are in one class.  So the classes are those of all links, and a
-group of copies costs a few rows for each member.  Sets of a shingle are spread
-by a salt that follows its count, so a hot one fills no single task.
+with the sets that, by lengths and places, may still link with one of another
+class that shares their shingle: members of the classes but the shingle's
+largest are the next heads, some a round, until none is left.  So the classes
+are those of all links, and a group of copies costs a few rows for each member.
+Sets of a shingle are spread by a salt that follows its count, so a hot one
+fills no single task.
 
 Shingles are compared by hashes of 48 bits and those of the bucket's number.
 A block is told by its partition and its place there, so ``docs`` should be a
@@ -49,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import whole, written
+from .shared import whole, with_group, written
 
 #: Sets and shingles of a block at most (a set's number there takes one byte; a longer text is a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 255, 1 << 21
@@ -457,27 +458,48 @@ def _salted(of_shingle: DataFrame) -> DataFrame:
     return of_shingle.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
 
+def _reach(percent: int) -> list[Column]:
+    """``lo, hi``: the sizes that a partner of a set of size n may have if the first shingle they share is at the set's place ``pos`` (the two filters of ``_fits``, seen from one side)."""
+    low = F.floor((F.lit(percent) * F.col("n") + 99) / 100).cast("int")
+    high = F.least(F.floor(F.lit(100) * F.col("n") / percent), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
+    return [low.alias("lo"), high.cast("int").alias("hi")]
+
+
+def _open(free: DataFrame) -> DataFrame:
+    """Those rows of ``free`` that may still link with a set of another class that shares their shingle, with the shingle's largest class ``main``.
+
+    The sets of a shingle are summed up by class and by steps of 2 % in size,
+    so a summary's length is bounded by the number of steps, and a set is held
+    against the summaries, not against the sets.
+    """
+    step = F.floor(F.log("n") / F.log(F.lit(1.02))).cast("int")
+    spans = free.groupBy("shingle", step.alias("step")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("label").alias("first"), F.max("label").alias("last"))
+    spans = spans.groupBy("shingle").agg(F.collect_list(F.struct("least", "most", "lo", "hi", "first", "last")).alias("spans"), F.min("first").alias("first"), F.max("last").alias("last"))
+    main = free.groupBy("shingle", "label").agg(F.count("*").alias("many"), F.max("salts").alias("salts")).groupBy("shingle").agg(F.max_by("label", "many").alias("main"), F.max("salts").alias("salts"))
+    mixed = spans.filter("first < last").drop("first", "last").join(main, "shingle")
+    there = free.drop("salts").join(_salted(mixed), ["shingle", "salt"])
+    meets = F.exists("spans", lambda x: (x["least"] <= F.col("hi")) & (x["most"] >= F.col("lo")) & (x["lo"] <= F.col("n")) & (x["hi"] >= F.col("n")) & ((x["first"] != F.col("label")) | (x["last"] != F.col("label"))))
+    return there.filter(meets).drop("spans")
+
+
 def _labels(sets: DataFrame, known: DataFrame, percent: int, heads: int) -> DataFrame:
     """``id, label`` for each id that links, or that ``known`` links (a, b) name: the smallest id of its class."""
-    sketches = _sketches(sets)
+    sketches = written(_sketches(sets), "sketches")
     posted = _postings(sets)
     # The first head of a shingle: the set with the fewest shingles of its own.
     first = posted.groupBy("shingle").agg(F.count("*").alias("many"), F.max("salts").alias("salts"), F.min(F.struct("u", "seq")).alias("head")).filter("many > 1").drop("many")
-    lists = written(posted.drop("salts").join(_salted(first), ["shingle", "salt"]), "postings")
+    lists = written(posted.drop("salts").join(_salted(first), ["shingle", "salt"]).select("*", *_reach(percent)), "postings")
     is_head = F.struct("u", "seq") == F.col("head")
     used = lists.filter(is_head)
     hit = _side(lists.filter(~is_head), "a").join(_side(_salted(used.drop("salt")), "b"), ["shingle", "salt"]).filter(_fits(percent))
     tried = written(_suffix_filter(_candidates(hit), sketches, percent), "pairs")
     labels = components(_verified(sets, tried, percent).unionByName(known))
-    used = used.select("shingle", "seq")
+    # Those that weren't heads of the shingle yet, and may still link.
+    free = lists.filter(~is_head).drop("head")
 
     while True:
-        # A shingle is done when the sets of it that haven't been heads are all in one class.
-        now = lists.drop("head").join(labels.withColumnRenamed("label", "known"), "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
-        free = now.join(used, ["shingle", "seq"], "left_anti")
-        classes = free.groupBy("shingle", "label").agg(F.count("*").alias("many"), F.max("salts").alias("salts"))
-        mixed = classes.groupBy("shingle").agg(F.count("*").alias("classes"), F.max("salts").alias("salts"), F.max_by("label", "many").alias("main")).filter("classes > 1").drop("classes")
-        free = written(free.drop("salts").join(_salted(mixed), ["shingle", "salt"]), "open")
+        now = free.join(labels.withColumnRenamed("label", "known"), "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
+        free = written(_open(now), "open")
         if free.limit(1).count() == 0:
             return labels
         # The next heads: members of the classes but the shingle's largest; ranked by salt first, so no task has all sets of a shingle.
@@ -487,7 +509,7 @@ def _labels(sets: DataFrame, known: DataFrame, percent: int, heads: int) -> Data
         differ = _fits(percent) & (F.col("label_a") != F.col("label_b"))
         hit = _side(free, "a", "label").join(_side(_salted(chosen), "b", "label"), ["shingle", "salt"]).filter(differ)
         fresh = written(_suffix_filter(_candidates(hit).join(tried.select("a", "b"), ["a", "b"], "left_anti"), sketches, percent), "pairs")
-        used = used.unionByName(chosen.select("shingle", "seq"))
+        free = free.join(chosen.select("shingle", "seq"), ["shingle", "seq"], "left_anti").drop("label", "main")
         if fresh.limit(1).count():
             tried = tried.unionByName(fresh)
             links = written(_verified(sets, fresh, percent), "verified")
@@ -495,7 +517,7 @@ def _labels(sets: DataFrame, known: DataFrame, percent: int, heads: int) -> Data
                 labels = _joined(labels, links)
 
 
-def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each document: its set's size and the smallest id that links reach.
 
     ``heads``: so many sets of a shingle meet all its others in a round.
@@ -508,8 +530,8 @@ def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 16
 
     # One set for each word sequence, under the smallest id that has it.
     members = records.filter("n > 0").select("doc_id", "sequence", "n")
-    first = members.groupBy("sequence").agg(F.min("doc_id").alias("rep"))
-    members = written(members.join(first, "sequence").select("doc_id", "n", "rep"), "members")
+    first = members.groupBy("sequence").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    members = written(with_group(members, first, ["sequence"], "copies").select("doc_id", "n", "rep"), "members")
     alive = records.filter("keys IS NOT NULL").groupBy("sequence").agg(F.min(F.struct("doc_id", "n", "keys", "often")).alias("s"))
     sets = written(alive.select(F.col("sequence").alias("seq"), F.col("s.doc_id").alias("id"), "s.n", "s.keys", "s.often"), "sets")
     # An id with several texts joins their classes.

@@ -45,3 +45,40 @@ def held_out(id_col: str = "doc_id") -> Column:
 def whole(text_col: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def fresh_names(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+#: A group with a share of the rows of at least one in so many is large; there are no more large groups than that.
+LARGE = 1_000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group, null for rows without one.
+
+    ``groups`` has one row for each value of ``on``, which isn't null, and in
+    ``size`` the number of its rows.  Groups with a thousandth of all grouped
+    rows are at most a thousand and are broadcast, so no task gets a hot group;
+    the others are joined by a shuffle.
+    """
+    groups = written(groups, "groups")
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    others = [c for c in groups.columns if c not in on]
+    large = F.broadcast(groups.filter(F.col(size) * LARGE >= total).withColumns({f"{c}_large": F.col(c) for c in others}).drop(*others))
+    found = rows.join(large, on, "left")
+    # Rows of large groups get a further key of many values, so the shuffle spreads them.
+    spread = F.when(F.col(f"{size}_large").isNotNull(), 1 + F.monotonically_increasing_id() % 4096).otherwise(F.lit(0))
+    small = groups.filter(F.col(size) * LARGE < total).withColumn("_spread", F.lit(0).cast("long"))
+    both = found.withColumn("_spread", spread).join(small, [*on, "_spread"], "left")
+    return both.select(*rows.columns, *[F.coalesce(F.col(f"{c}_large"), F.col(c)).alias(c) for c in others])
