@@ -1,10 +1,13 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Texts are equal when they are identical after every run of ASCII white space
-is replaced by one space.  A first scan keeps only (length, prefix hash) of
-each row; groups of one length, then of one length and prefix, that have a
-single row are settled there.  Only rows of groups that survive both rounds
-have their full content hashed.
+is replaced by one space.  A first scan gives (length, prefix hash) of each
+row; groups of one length, then of one length and prefix, that have a single
+row are settled there.  Only rows of groups that survive both rounds have
+their full content hashed and compared.
+
+Only short keys are shuffled by ``exact_groups``.  ``keep_rows`` passes settled
+rows on where they were read; only rows of surviving groups are moved.
 
 Defined results: a null text counts as empty; an empty table gives an empty
 result; rows with a null id form groups like others but never give the id that
@@ -16,10 +19,10 @@ further columns may have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import fresh_names, with_group, written
 
 #: A run of white space that isn't already one plain space.
 _RUN = r"(?:[\x09-\x0D]|\x20(?=[\x20\x09-\x0D]))[\x20\x09-\x0D]*"
@@ -30,35 +33,56 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _RUN, " ")
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(normalised(text).cast("binary"), 256)
+
+
+def _survivors(keys: DataFrame, n: str, p: str) -> DataFrame:
+    """``n, p, _rows``: the lengths, and prefixes there, that several rows share."""
+    prefixes = written(keys.groupBy(n, p).agg(F.count("*").alias("_rows")), "dedup-prefixes")
+    lengths = prefixes.groupBy(n).agg(F.sum("_rows").alias("_all")).filter("_all > 1").select(n)
+    return prefixes.filter("_rows > 1").join(lengths, n, "left_semi")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128, digest: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    ``text_sha256`` is null for rows settled without their full content unless
-    ``digest`` asks for it everywhere.
+    ``text_sha256`` is null for rows settled without their full content, unless
+    ``digest`` asks for it everywhere: then the first scan takes it.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text"))
-    rows = rows.select("doc_id", "_text", F.length("_text").alias("_n"), F.xxhash64(F.substring("_text", 1, prefix)).alias("_p"))
-
-    keys = written(rows.select("_n", "_p"), "dedup-keys")
-    lengths = keys.groupBy("_n").count().filter("count > 1").select("_n")
-    alive = keys.join(lengths, "_n", "left_semi")
-    alive = alive.groupBy("_n", "_p").count().filter("count > 1").select(F.col("_n").alias("_gn"), F.col("_p").alias("_gp"), F.lit(True).alias("_alive"))
-
-    read = rows.join(alive, (F.col("_n") == F.col("_gn")) & (F.col("_p") == F.col("_gp")), "left")
-    full = F.sha2(F.col("_text").cast("binary"), 256)
-    read = read.select("doc_id", F.coalesce("_alive", F.lit(False)).alias("_alive"), (full if digest else F.when(F.col("_alive"), full)).alias("text_sha256"))
-    read = written(read, "dedup-hashes")
+    rows = rows.select("doc_id", F.length("_text").alias("_n"), F.xxhash64(F.substring("_text", 1, prefix)).alias("_p"), F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"))
+    if digest:
+        keys = written(rows, "dedup-keys")
+        marked = with_group(keys, _survivors(keys, "_n", "_p"), ["_n", "_p"], "_rows")
+    else:
+        keys = written(rows.select("doc_id", "_n", "_p"), "dedup-keys")
+        # The second scan hashes what survived; Spark moves no text for it, as the hash is taken before the shuffle.
+        marked = with_group(rows, _survivors(keys, "_n", "_p"), ["_n", "_p"], "_rows").withColumn("text_sha256", F.when(F.col("_rows").isNotNull(), F.col("text_sha256")))
+    read = written(marked.select("doc_id", F.col("_rows").isNotNull().alias("_alive"), "text_sha256"), "dedup-hashes")
 
     groups = read.filter("_alive").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     settled = read.filter("NOT _alive").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    shared = read.filter("_alive").join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return settled.unionByName(shared)
+    shared = with_group(read.filter("_alive"), groups, ["text_sha256"], "group_size")
+    return settled.unionByName(shared.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+
+
+#: Surviving (length, prefix) groups up to this number, 12 bytes each, are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 2_000_000
 
 
-def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col, digest=True).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    marked = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy(F.lit(1)))
-    return marked.withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    n, p, sha, id_, keep = fresh_names(docs, "n", "p", "sha", "id", "keep")
+    text = normalised(F.col(text_col))
+    # Each key is computed from the text where it is read; the two columns drop out again.
+    keyed = docs.withColumns({n: F.length(text), p: F.xxhash64(F.substring(text, 1, prefix))})
+    groups = written(_survivors(written(keyed.select(n, p), "dedup-keys"), n, p).select(n, p), "dedup-survivors")
+    small = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+    settled = keyed.join(small, [n, p], "left_anti").select(*docs.columns)
+    alive = written(keyed.join(small, [n, p], "left_semi").withColumn(sha, _digest(F.col(text_col))).select(*docs.columns, sha), "dedup-alive")
+
+    kept = alive.groupBy(F.col(sha).alias(keep)).agg(F.min(id_col).alias(id_))
+    # By hash and id, so that the copies of a hot text are spread; then one of each repeated row.
+    stay = alive.join(kept, (alive[sha] == kept[keep]) & alive[id_col].eqNullSafe(kept[id_]), "left_semi")
+    return settled.unionByName(stay.dropDuplicates([sha, id_col]).select(*docs.columns))
