@@ -1,18 +1,21 @@
 """Toxicity by maximum-scoring segment search.
 
-Units are the first 4 to 8 letters of words.  From labelled texts each unit
-gets a log-odds between toxic and clean texts under an informative Dirichlet
-prior (the pooled counts), and the units whose log-odds lie far above zero in
-standard errors form the model.  A text is a sequence of scores: a unit's
-log-odds where a word has one, else a small negative score, the log-likelihood
-ratio of a word without one.  One linear scan finds all maximal scoring
-segments (Ruzzo and Tompa); a segment of score s in a text of n words has
-p-value 1 - exp(-K n exp(-lambda s)), the extreme-value law, with K from the
-best segments of clean texts.  The text's score joins its best p-value and its
-numbers of significant segments and of hits in a logistic calibration.
-
-The model is fitted on at most ``train_rows`` labelled texts, chosen by a hash
-of their id, and holds at most ``max_units`` units, so its size doesn't grow.
+Every word has a log-odds between toxic and clean texts.  Its prior is
+Dirichlet, centred on the share that the words with its longest known prefix
+have, and so on down to that of all words: rare and inflected words take after
+their stem, unknown ones too.  Less a constant ``drift``, so that ordinary
+words count against a passage, these are a text's scores.  One linear scan
+finds all maximal scoring segments (Ruzzo and Tompa).  A segment of score s in
+a text of n words has p-value 1 - exp(-K n exp(-lambda s)), the extreme-value
+law, with lambda and K of greatest likelihood for the best segments of clean
+texts.  The text's score joins its best p-value and its number of significant
+segments in a logistic calibration.  Both are fitted on texts that the
+log-odds used for them haven't seen: each half of the texts is scored by the
+other's counts.
+
+The model is fitted on a bounded number of labelled texts (``train_rows`` of
+``labelled_texts``), chosen by a hash of their id, and holds their words and
+shared prefixes, 12 bytes each; nothing of it is left out.
 
 Defined results: null and empty texts have no segment and get the score of
 such texts; rows whose label is null, or that ``teach`` excludes, teach
@@ -22,85 +25,84 @@ toxic ones; repeated rows are scored alike; further columns aren't read.
 
 from __future__ import annotations
 
-import functools
+import bisect
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import whole, written
 
 _WORD = re.compile(r"\w+")
-SHORTEST, LONGEST = 4, 8
+
+
+def _key(text: str, word: bool) -> int:
+    """The number of a whole word, or of a prefix."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=int(word))
 
 
 @dataclass
 class Model:
-    """What scoring needs; a few thousand units at most."""
+    """Log-odds of words and prefixes, by ascending keys, and what makes scores of them."""
 
-    units: dict[str, float]
-    rest: float = -0.01
-    scale: float = 1.0
+    keys: np.ndarray
+    odds: np.ndarray
+    depths: list[int] = field(default_factory=lambda: [0])  # lengths that known prefixes have, descending
+    drift: float = 1.5
+    scale: float = 1.0  # lambda
     k: float = 1.0
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
-
-
-@functools.lru_cache(maxsize=4)
-def _automaton(units: tuple[str, ...]):
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for unit in units:
-        found.add_word(unit, len(unit))
-    found.make_automaton()
-    return found
-
-
-def hits(text: str, model: Model) -> tuple[list[tuple[int, int, int, float]], int]:
-    """(words before, first character, end, score) of each word with a unit, its longest one; and the number of words."""
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer; keep places in the text right
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    words = low.count(" ") + low.count("\n") + 1 if low.strip() else 0
-    if not model.units or not words:
-        return [], words
-    best: dict[int, int] = {}
-    for end, n in _automaton(tuple(model.units)).iter(low):
-        start = end - n + 1
-        if (start == 0 or not low[start - 1].isalnum()) and best.get(start, 0) < n:
-            best[start] = n
-    out, at, before = [], 0, 0
-    for start in sorted(best):
-        before += low.count(" ", at, start) + low.count("\n", at, start)
-        at = start
-        end = start + best[start]
-        while end < len(low) and low[end].isalnum():
-            end += 1
-        out.append((before, start, end, model.units[low[start : start + best[start]]]))
-    return out, words
-
-
-def segments(found: list[tuple[int, int, int, float]], rest: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as (score, first hit, last hit), in one pass over the hits.
-
-    Between hits lie words that score ``rest`` each.  Each candidate keeps the
-    sum before it and through it; a new one is joined with the nearest earlier
-    one that starts lower and ends lower, until none does.
+    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
+
+    @staticmethod
+    def of(words: dict[str, float], **more) -> Model:
+        """A model of given words' log-odds, 0 for others."""
+        found = sorted((_key(w, True), o) for w, o in words.items())
+        return Model(np.array([k for k, _ in found], np.uint64), np.array([o for _, o in found], np.float32), **more)
+
+
+class Scores(dict):
+    """The score of each word as it comes up, upper case as lower case."""
+
+    MOST = 1_000_000
+
+    def __init__(self, model: Model):
+        self._keys, self._odds, self._depths, self._drift = array("Q", model.keys.tobytes()), model.odds, model.depths, model.drift
+
+    def _at(self, key: int) -> int:
+        i = bisect.bisect_left(self._keys, key)
+        return i if i < len(self._keys) and self._keys[i] == key else -1
+
+    def __missing__(self, word: str) -> float:
+        low = word.lower()
+        at = self._at(_key(low, True))
+        if at < 0:
+            at = next((i for d in self._depths if d <= len(low) and (i := self._at(_key(low[:d], False))) >= 0), -1)
+        found = (float(self._odds[at]) if at >= 0 else 0.0) - self._drift
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments as (score, first place, last place), in one pass over the positive scores.
+
+    Each candidate keeps the sum before it and through it; a new one is joined
+    with the nearest earlier one that starts lower and ends lower, until none does.
     """
     kept: list[tuple[float, float, int, int, int]] = []  # sum before, sum through, first, last, nearest earlier one that starts lower
-    total, words = 0.0, 0
-    for i, (before, _, _, score) in enumerate(found):
-        total += rest * (before - words)
-        words = before + 1
-        left, first = total, i
-        total += score
-        right = total
+    total = np.cumsum(scores)
+    at = np.flatnonzero(scores > 0)
+    for i, left, right in zip(at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist(), strict=True):
+        first = i
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][0] >= left:
@@ -113,33 +115,33 @@ def segments(found: list[tuple[int, int, int, float]], rest: float) -> list[tupl
     return [(right - left, first, last) for left, right, first, last, _ in kept]
 
 
-def p_value(score: float, words: int, model: Model) -> float:
-    """Chance that a clean text of so many words has a segment of this score."""
-    return -math.expm1(-model.k * max(words, 1) * math.exp(-min(model.scale * score, 700.0)))
+def log_p(score: float, words: int, model: Model) -> float:
+    """The natural logarithm of the chance that a clean text of so many words has a segment of this score."""
+    expected = math.log(model.k * max(words, 1)) - model.scale * score
+    return expected if expected < -30 else math.log(-math.expm1(-math.exp(min(expected, 30.0))))
+
+
+def _scored(words: list[str], scores: Scores) -> np.ndarray:
+    return np.fromiter(map(scores.__getitem__, words), float, len(words))
 
 
 def passages(text: str, model: Model, significant: float = 0.01) -> list[tuple[int, int, float, float]]:
     """(first character, end, score, p-value) of the significant toxic passages of a text."""
-    found, words = hits(text, model)
-    out = []
-    for score, a, b in segments(found, model.rest):
-        p = p_value(score, words, model)
-        if p <= significant:
-            out.append((found[a][1], found[b][2], score, p))
-    return out
+    spans = [m.span() for m in _WORD.finditer(text)]
+    found = segments(_scored([text[a:b] for a, b in spans], Scores(model)))
+    with_p = [(spans[a][0], spans[b][1], s, math.exp(log_p(s, len(spans), model))) for s, a, b in found]
+    return [x for x in with_p if x[3] <= significant]
 
 
-def _features(text: str, model: Model) -> tuple[float, float, float, float, int]:
-    found, words = hits(text, model)
-    if not found:
-        return 0.0, 0.0, 0.0, 0.0, words
-    scores = sorted((s for s, _, _ in segments(found, model.rest)), reverse=True)
-    ps = [p_value(s, words, model) for s in scores]
-    return min(-math.log10(max(ps[0], 1e-300)), 20.0), math.log1p(sum(p <= 0.01 for p in ps)), math.log1p(len(found)), scores[0], words
+def _features(text: str, scores: Scores, model: Model) -> tuple[float, float]:
+    """How unlikely the best segment is, and how many are significant."""
+    words = _WORD.findall(text)
+    ps = [log_p(s, len(words), model) for s, _, _ in segments(_scored(words, scores))]
+    return (min(-min(ps) / math.log(10), 20.0), math.log1p(sum(p <= math.log(0.01) for p in ps))) if ps else (0.0, 0.0)
 
 
 def _score(x: tuple[float, ...], weights: list[float]) -> float:
-    z = weights[0] + sum(w * v for w, v in zip(weights[1:], x, strict=False))
+    z = weights[0] + sum(w * v for w, v in zip(weights[1:], x, strict=True))
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
@@ -154,82 +156,104 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, teach: Co
     return docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label")
 
 
+_COUNTS = ("clean0", "toxic0", "clean1", "toxic1")  # by label and half
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    toxic, clean = Counter(), Counter()
+    counts = [Counter() for _ in _COUNTS]
 
     def flush() -> pa.RecordBatch:
-        words = list(toxic.keys() | clean.keys())
-        counts = [pa.array([c[w] for w in words], pa.int64()) for c in (toxic, clean)]
-        toxic.clear()
-        clean.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *counts], ["word", "toxic", "clean"])
+        words = list(set().union(*counts))
+        columns = [pa.array([c[w] for w in words], pa.int64()) for c in counts]
+        for c in counts:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *columns], ["word", *_COUNTS])
 
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            own = {w[:LONGEST] for w in _WORD.findall(text.as_py().lower()) if len(w) >= SHORTEST}
-            (toxic if label else clean).update(own)
-        if len(toxic) + len(clean) > 500_000:
+        for text, label, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            counts[2 * half + (label == 1)].update({w.lower() for w in _WORD.findall(text.as_py())})
+        if sum(map(len, counts)) > 300_000:
             yield flush()
     yield flush()
 
 
-def fit(train: DataFrame, max_units: int = 5000, prior: float = 2.0, least_z: float = 3.5) -> Model:
-    """The model of labelled ``text, label`` rows."""
-    train = written(train, "toxic-train")
-    n = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
-    if not n[0] or not n[1]:
-        share = (n[0] + 1) / (n[0] + n[1] + 2)
-        return Model({}, weights=[math.log(share / (1 - share)), 0.0, 0.0, 0.0])
-    words = written(train.mapInArrow(_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")), "toxic-words")
-    units = words.select("t", "c", F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.length("word")), lambda k: F.struct(F.col("word").substr(F.lit(1), k).alias("unit"), (k == F.length("word")).alias("all")))).alias("u"))
-    units = units.groupBy("u.unit").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("words"), F.max("u.all").alias("whole"))
-    sums = words.agg(F.sum("t"), F.sum("c")).first()
-    nt, nc = float(sums[0] or 1), float(sums[1] or 1)
-    # The prior: pooled counts, shrunk to a weight of `prior` pseudo-texts of a class.
-    pool = (F.col("t") + F.col("c")) / F.lit(nt + nc)
-    a, b = F.col("t") + prior * 100 * pool + 0.05, F.col("c") + prior * 100 * pool + 0.5
-    z = units.withColumn("odds", F.log(a / F.lit(nt)) - F.log(b / F.lit(nc))).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
-    good = z.filter((F.col("z") >= least_z) & (F.col("odds") >= 1.0) & (F.col("t") >= 3) & (F.col("whole") | (F.col("words") >= 4)))
-    rows = good.orderBy(F.desc("z"), "unit").limit(max_units).select("unit", "odds", "t", "c").collect()
-    odds = {r.unit: float(r.odds) for r in rows}
-    # Counts of words with a unit, each once: by its longest unit.
-    model = Model(odds)
-
-    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [hits(t.as_py(), model) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(h) for h, _ in seen], pa.int64()), pa.array([w for _, w in seen], pa.int64())], ["label", "hits", "words"])
+def _shared_prefixes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes at which sorted ``words`` part: depth, first word, word behind the last, parent; and each word's own parent. The root is 0."""
+    depth, first, end, parent, above = [0], [0], [len(words)], [0], []
+    stack = [0]
+    for i in range(1, len(words) + 1):
+        shared = 0
+        if i < len(words):
+            a, b = words[i - 1], words[i]
+            least = min(len(a), len(b))
+            while shared < least and a[shared] == b[shared]:
+                shared += 1
+        top, left, child = stack[-1], i - 1, -1
+        while depth[stack[-1]] > shared:
+            x = stack.pop()
+            end[x], left = i, first[x]
+            if depth[stack[-1]] >= shared:
+                parent[x] = stack[-1]
+            else:
+                child = x
+        if depth[stack[-1]] < shared:
+            depth.append(shared)
+            first.append(left)
+            end.append(i)
+            parent.append(stack[-1])
+            if child >= 0:
+                parent[child] = len(depth) - 1
+            stack.append(len(depth) - 1)
+        above.append(top if depth[top] >= shared else stack[-1])
+    return tuple(np.array(x, np.int64) for x in (depth, first, end, parent, above))
+
+
+def log_odds(words: list[str], toxic: np.ndarray, clean: np.ndarray, prior: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The shared prefixes of sorted ``words``, their log-odds and those of the words, against the share of all.
+
+    ``toxic`` and ``clean`` have a row for each set of counts, and so have the results.
+    """
+    depth, first, end, parent, above = _shared_prefixes(words)
+    sums = [np.concatenate([np.zeros((len(c), 1)), np.cumsum(c, 1)], 1) for c in (toxic, clean)]
+    t, c = ((s[:, end] - s[:, first]) for s in sums)
+    share = np.zeros(t.shape)
+    share[:, 0] = (t[:, 0] + 1) / (t[:, 0] + c[:, 0] + 2)
+    for d in np.unique(depth[1:]):
+        at = np.flatnonzero(depth == d)
+        at = at[at > 0]
+        share[:, at] = (t[:, at] + prior * share[:, parent[at]]) / (t[:, at] + c[:, at] + prior)
+    own = (toxic + prior * share[:, above]) / (toxic + clean + prior)
+    odds = lambda p: np.log(p) - np.log1p(-p)
+    root = odds(share[:, :1])
+    return [words[i][:d] for i, d in zip(first.tolist(), depth.tolist(), strict=True)], odds(share) - root, odds(own) - root
+
+
+def extreme_value(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """Lambda and K of greatest likelihood for best segments of texts of so many words."""
+
+    def slope(scale: float) -> float:
+        w = words * np.exp(-scale * (best - best.min()))
+        return 1 / scale - best.mean() + (best * w).sum() / w.sum()
+
+    low, high = 1e-2, 50.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope(middle) > 0 else (low, middle)
+    return low, float(len(best) / (words * np.exp(-low * best)).sum())
 
-    rate = {r.label: (r.h + 0.5) / (r.w + 1) for r in train.mapInArrow(rates, "label int, hits long, words long").groupBy("label").agg(F.sum("hits").alias("h"), F.sum("words").alias("w")).collect()}
-    high, low = min(max(rate.get(1, 0.01), 1e-4), 0.5), min(max(rate.get(0, 1e-4), 1e-7), 0.4)
-    model.rest = min(math.log1p(-high) - math.log1p(-low), -1e-3)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [_features(t.as_py(), model) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([float(v[i]) for v in x], pa.float64()) for i in range(5)]], ["label", "a", "b", "c", "s", "words"])
-
-    def features() -> np.ndarray:
-        got = train.mapInArrow(measured, "label int, a double, b double, c double, s double, words double").toPandas()  # at most train_rows rows
-        return got.to_numpy(float)
-
-    first = features()
-    clean = first[(first[:, 0] == 0) & (first[:, 5] > 0)]
-    # Gumbel: E exp(-lambda s) K n = 1 at the mode, so K is the mean of exp(lambda s) / n over clean texts, held against outliers by the median of their logs.
-    lifted = np.log(np.maximum(np.exp(np.minimum(clean[:, 4], 50)), 1) / clean[:, 5])
-    model.k = float(np.exp(np.median(lifted) + math.log(math.log(2)))) if len(clean) else 1.0
-    x = features()
-    y, x = x[:, 0], np.column_stack([np.ones(len(x)), x[:, 1:4]])
-    w = np.zeros(4)
-    ridge = np.diag([0.0, 0.5, 0.5, 0.5])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
+    """Weights of a logistic model, the constant first, by damped Newton steps."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
 
     def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)).sum() + w @ ridge @ w / 2)
+        return float(np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)).sum() + w @ penalty @ w / 2)
 
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(4)
-        step, size = np.linalg.solve(hess, x.T @ (y - p) - ridge @ w), 1.0
+        hess = (x * (p * (1 - p))[:, None]).T @ x + penalty
+        step, size = np.linalg.solve(hess, x.T @ (y - p) - penalty @ w), 1.0
         while size > 1e-6 and loss(w + size * step) > loss(w):
             size /= 2
         if size <= 1e-6:
@@ -237,8 +261,56 @@ def fit(train: DataFrame, max_units: int = 5000, prior: float = 2.0, least_z: fl
         w = w + size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    model.weights = w.tolist()
-    return model
+    return w.tolist()
+
+
+def fit(train: DataFrame, prior: float = 8.0, drift: float = 1.5) -> Model:
+    """The model of labelled ``text, label`` rows; ``prior``: how many texts the prior of a word's share counts as."""
+    spark = train.sparkSession
+    train = written(train.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).select("text", "label", "half"), "toxic-train")
+    n = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    if not n[0] or not n[1]:
+        share = (n[0] + 1) / (n[0] + n[1] + 2)
+        return Model.of({}, weights=[math.log(share / (1 - share)), 0.0, 0.0])
+    counted = train.mapInArrow(_words, "word string, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    table = counted.toArrow()  # the words of a bounded number of texts
+    words = table.column("word").to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    words = [words[i] for i in order]
+    clean0, toxic0, clean1, toxic1 = (table.column(c).to_numpy()[order].astype(float) for c in _COUNTS)
+    # All texts, and for each half the counts of the other one.
+    prefixes, shared, own = log_odds(words, np.array([toxic0 + toxic1, toxic1, toxic0]), np.array([clean0 + clean1, clean1, clean0]), prior)
+    keys = np.array([*(_key(w, True) for w in words), *(_key(p, False) for p in prefixes)], np.uint64)
+    by = np.argsort(keys)
+    depths = sorted({len(p) for p in prefixes}, reverse=True)
+    whole_model, *halves = (Model(keys[by], np.concatenate([o, s])[by].astype(np.float32), depths, drift) for o, s in zip(own, shared, strict=True))
+    given = spark.sparkContext.broadcast(halves)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = [Scores(m) for m in given.value]
+        for batch in batches:
+            out: list[list] = [[], []]
+            for text, label, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = _WORD.findall(text.as_py())
+                if label == 0 and found:
+                    out[0].append(max((s for s, _, _ in segments(_scored(found, scores[half]))), default=0.0))
+                    out[1].append(len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in out], ["best", "words"])
+
+    clean = train.mapInArrow(best, "best double, words double").toArrow()  # at most train_rows rows, here and below
+    scale, k = extreme_value(clean.column(0).to_numpy(), clean.column(1).to_numpy()) if clean.num_rows else (1.0, 1.0)
+    whole_model.scale, whole_model.k = scale, k
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = [Scores(m) for m in given.value]
+        law = Model.of({}, scale=scale, k=k)
+        for batch in batches:
+            x = [_features(t.as_py(), scores[half], law) for t, half in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([v[i] for v in x], pa.float64()) for i in range(2)]], ["label", "a", "b"])
+
+    got = train.mapInArrow(measured, "label int, a double, b double").toArrow()
+    whole_model.weights = _logistic(np.column_stack([got.column(i).to_numpy() for i in (1, 2)]), got.column(0).to_numpy())
+    return whole_model
 
 
 SCORED = "doc_id long, score double, passages long"
@@ -246,10 +318,13 @@ SCORED = "doc_id long, score double, passages long"
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, passages`` (the number of significant ones) of every whole text."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = given.value
+        scores = Scores(model)
         for batch in batches:
-            x = [_features(t.as_py(), model) for t in batch.column(1)]
+            x = [_features(t.as_py(), scores, model) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_score(v, model.weights) for v in x], pa.float64()), pa.array([round(math.expm1(v[1])) for v in x], pa.int64())], ["doc_id", "score", "passages"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(scored, SCORED)
@@ -257,10 +332,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def spans(docs: DataFrame, model: Model, significant: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each significant passage: ``doc_id, start, end, score, p_value`` in characters of the text."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, *p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for p in passages(t.as_py(), model, significant)]
+            out = [(i, *p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for p in passages(t.as_py(), given.value, significant)]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 3, *[pa.float64()] * 2], strict=True)], ["doc_id", "start", "end", "score", "p_value"])
 
@@ -269,12 +345,14 @@ def spans(docs: DataFrame, model: Model, significant: float = 0.01, id_col: str
 
 def filter_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
-    names = docs.columns
-    at = names.index(text_col)
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = given.value
+        scores = Scores(model)
         for batch in batches:
-            fine = [_score(_features(t.as_py() or "", model), model.weights) < threshold for t in batch.column(at)]
+            fine = [_score(_features(t.as_py() or "", scores, model), model.weights) < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
