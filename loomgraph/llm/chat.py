@@ -9,8 +9,8 @@ can pose as a mark, and dropping the backslashes gives the text back.
 Turns behind the last reply, and conversations without one, become a last row
 without a loss, so that nothing of a conversation is lost.  An example repeats
 its whole context, so a conversation of n turns gives text in the order of
-n * n; a task holds one conversation's text at a time and hands examples on in
-batches of bounded size.
+n * n; a task holds one conversation's text at a time and hands examples, with
+or without a reply, on in batches of bounded size.
 
 Defined results: null texts and roles are empty; turns are ordered by turn,
 then role, then text, nulls first; repeated rows are turns of their own; a
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import whole
 
-EXAMPLES = "conv_id long, example long, text string, loss_start long, loss_end long, turns long"
+EXAMPLES = "conv_id long, example long, text string, loss_start long, loss_end long, turns long, last boolean"
 _END = " </turn>\n"
 _TEXT = str.maketrans({c: "\\" + c for c in "\\#<"})
 _ROLE = str.maketrans({c: "\\" + c for c in "\\#<:"})
@@ -61,25 +61,30 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def expand(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
-    """One row per example: its text, the span of characters under the loss mask (null: none), and its number of turns."""
+    """One row per example: its text, the span of characters under the loss mask (null: none), its number of turns, and whether no other example begins with its turns."""
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size = 0
         nothing = object()
         conv: object = nothing
-        prefix, n, example, behind = [], 0, 0, []
+        prefix, n, example, behind, reply = [], 0, 0, [], None
 
         def flush() -> pa.RecordBatch:
             columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3], strict=True)], ["conv_id", "example", "text", "loss_start", "loss_end", "turns"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.bool_()], strict=True)], [x.split()[0] for x in EXAMPLES.split(", ")])
+
+        def ended() -> list[tuple]:
+            """The conversation's last reply, and what lies behind it."""
+            rest = [(conv, example, "".join(behind), None, None, len(behind), True)] if behind else []
+            return [(*reply, True), *rest] if reply else rest
 
         for batch in batches:
             for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fresh: list[tuple] = []
                 if conv_id != conv or conv is nothing:
-                    if behind:
-                        out.append((conv, example, "".join(behind), None, None, len(behind)))
-                    conv, prefix, n, example, behind = conv_id, [], 0, 0, []
+                    fresh = ended()
+                    conv, prefix, n, example, behind, reply = conv_id, [], 0, 0, [], None
                 start = head(role)
                 body = escape(text)
                 turn = start + body + _END
@@ -87,16 +92,18 @@ def expand(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
                 prefix.append(turn)
                 behind.append(turn)
                 if role == target_role:
+                    if reply:
+                        fresh.append((*reply, False))
                     prefix = ["".join(prefix)]
                     end = len(prefix[0]) - len(_END)
-                    out.append((conv, example, prefix[0], end - len(body), end, n))
-                    size += len(prefix[0])
+                    reply = (conv, example, prefix[0], end - len(body), end, n)
                     example, behind = example + 1, []
-                    if size > _BATCH:
-                        yield flush()
-                        out, size = [], 0
-        if behind:
-            out.append((conv, example, "".join(behind), None, None, len(behind)))
+                out += fresh
+                size += sum(len(x[2]) for x in fresh)
+                if size > _BATCH:
+                    yield flush()
+                    out, size = [], 0
+        out += ended()
         if out:
             yield flush()
 
@@ -109,35 +116,49 @@ def expand(turns: DataFrame, target_role: str = "assistant") -> DataFrame:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+_READ = "conv_id long, example long, chars long, target string, turns string"
+
+
 def read_back(examples: DataFrame) -> DataFrame:
-    """A row per conversation, from the formatted examples alone: digests of its turns and of what is trained on."""
+    """A row per conversation, from the formatted examples alone: digests of its turns and of what is trained on.
+
+    Each example is read where it lies; only its reply, and the turns of those
+    that no other repeats, are moved.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chars, targets, turns = [], [], []
+            for text, start, end, last in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                chars.append(len(text))
+                targets.append(None if start is None else unescape(text[start:end]))
+                turns.append(text if last else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chars, pa.int64()), pa.array(targets, pa.string()), pa.array(turns, pa.string())], [x.split()[0] for x in _READ.split(", ")])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = object()
         conv: object = nothing
-        last, loss, loss_chars, chars, out = "", hashlib.sha256(), 0, 0, []
+        turns, loss, loss_chars, chars, out = [], hashlib.sha256(), 0, 0, []
 
         def close() -> None:
             found = hashlib.sha256()
-            parsed = parse(last)
+            parsed = parse("".join(turns))
             for role, text in parsed:
                 found.update(f"{role}\n{text}\n".encode())
             out.append((conv, len(parsed), found.hexdigest(), loss_chars, loss.hexdigest(), chars))
 
         for batch in batches:
-            for conv_id, text, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv_id, n, target, said in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv is nothing or conv_id != conv:
                     if conv is not nothing:
                         close()
-                    conv, last, loss, loss_chars, chars = conv_id, "", hashlib.sha256(), 0, 0
-                chars += len(text)
-                if start is None:  # what lies behind the last reply
-                    last += text
-                else:
-                    target = unescape(text[start:end])
+                    conv, turns, loss, loss_chars, chars = conv_id, [], hashlib.sha256(), 0, 0
+                chars += n
+                if target is not None:
                     loss.update(target.encode())
                     loss_chars += len(target)
-                    last = text
+                if said is not None:  # the last reply with all before it, then what lies behind it
+                    turns.append(said)
             if len(out) > 10_000:
                 yield _digests(out)
                 out = []
@@ -146,8 +167,9 @@ def read_back(examples: DataFrame) -> DataFrame:
         if out:
             yield _digests(out)
 
-    ordered = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    return ordered.select("conv_id", "text", "loss_start", "loss_end").mapInArrow(digests, DIGESTS)
+    read = examples.select("conv_id", "example", "text", "loss_start", "loss_end", "last").mapInArrow(parts, _READ)
+    ordered = read.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return ordered.select("conv_id", "chars", "target", "turns").mapInArrow(digests, DIGESTS)
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -70,72 +71,139 @@ class Node:
     stops: int = 0
 
 
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before, whether it ends an element, tag, attributes, end) of each tag, and at last the text behind them with no tag; in linear time.
+
+    A comment, or a declaration, has no tag.  A quote that nothing closes is an
+    ordinary character; a tag that nothing closes takes the rest of the page
+    with it, as in browsers.  The consumer may send the place to go on from.
+    """
+    at = text = 0
+    unclosed: set[str] = set()
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            m, found = None, page.find("-->", at + 4)
+            end = found + 3 if found >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            m, found = None, page.find(">", at)
+            end = found + 1 if found >= 0 else len(page)
+        elif m := _TAG.match(page, at + 1):
+            end = m.end()
+            while stop := _STOP.search(page, end):
+                quote = stop[0]
+                end = stop.end()
+                if quote == ">":
+                    break
+                close = -1 if quote in unclosed else page.find(quote, end)
+                if close >= 0:
+                    end = close + 1
+                else:
+                    unclosed.add(quote)
+            else:
+                yield page[text:at], False, "", "", len(page)
+                return
+        else:
+            at += 1
+            continue
+        moved = yield (page[text:at], bool(m and m[1]), m[2].lower() if m else "", page[m.end() : end - 1] if m else "", end)
+        at = text = end if moved is None else moved
+    yield page[text:], False, "", "", len(page)
+
+
+class _Open:
+    """The elements that are open at a place of the page, with the depths of those that later tags ask for."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["#root"]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # of all blocks, of those that the page itself has, of implied paragraphs, of controls
+        self.firm: list[int] = []
+        self.implied: list[int] = []
+        self.controls: list[int] = []
+
+    def _lists(self, tag: str) -> list[list[int]]:
+        out = [self.depths.setdefault(tag, [])]
+        if tag in BLOCK:
+            out.append(self.blocks)
+        if tag in CONTROLS:
+            out.append(self.controls)
+        return out
+
+    def push(self, node: int, tag: str, implied: bool = False) -> None:
+        depth = len(self.nodes)
+        for x in (*self._lists(tag), *([self.implied] if implied else [self.firm] if tag in BLOCK else [])):
+            x.append(depth)
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def close(self, depth: int) -> None:
+        """Closes everything from ``depth`` on."""
+        while len(self.nodes) > depth:
+            self.nodes.pop()
+            for x in self._lists(self.tags.pop()):
+                x.pop()
+        for x in (self.firm, self.implied):
+            while x and x[-1] >= depth:
+                x.pop()
+
+    def last(self, *tags: str) -> int:
+        """The depth of the innermost of ``tags``, 0 if none is open."""
+        return max((x[-1] for t in tags if (x := self.depths.get(t))), default=0)
+
+
 def tree(page: str) -> list[Node]:
     """Elements of a page in order, parents before children; the first is the root.
 
     Text outside all blocks, with the usual inline elements around it, gets a
-    paragraph of its own, as if the page had one there.
+    paragraph of its own, as if the page had one there.  Takes linear time,
+    whatever the page holds.
     """
-    nodes, stack, at = [Node("#root", -1)], [0], 0
-    implied: set[int] = set()
-
-    def paragraph() -> None:
-        nodes.append(Node("p", stack[-1]))
-        nodes[stack[-1]].parts.append(len(nodes) - 1)
-        stack.append(len(nodes) - 1)
-        implied.add(stack[-1])
-
-    def text(raw: str) -> None:
-        if raw.strip() and not any(nodes[i].tag in BLOCK or nodes[i].tag in CONTROLS for i in stack):
-            paragraph()
-        if raw:
-            nodes[stack[-1]].parts.append(raw)
-
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    nodes, now = [Node("#root", -1)], _Open()
+
+    def add(tag: str, attributes: str = "") -> int:
+        nodes.append(Node(tag, now.nodes[-1], attributes))
+        nodes[now.nodes[-1]].parts.append(len(nodes) - 1)
+        return len(nodes) - 1
+
+    found = tokens(page)
+    go_on = None
+    while True:
+        try:
+            text, ends, tag, attributes, end = found.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if text:
+            if text.strip() and not now.blocks and not now.controls:
+                now.push(add("p"), "p", implied=True)
+            nodes[now.nodes[-1]].parts.append(text)
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[depth]].tag
-                if open_tag == tag:
-                    del stack[depth:]
-                    break
-                # An inline end tag doesn't close blocks around it.
-                if open_tag in BLOCK and tag not in BLOCK and stack[depth] not in implied:
-                    break
+        if ends:
+            depth = now.last(tag)
+            # An inline end tag doesn't close blocks around it.
+            if depth and (tag in BLOCK or not now.firm or now.firm[-1] < depth):
+                now.close(depth)
             continue
         if tag in BLOCK or tag == "head":
-            if implied and (found := next((d for d, i in enumerate(stack) if i in implied), 0)):
-                del stack[found:]
-        elif tag in _INLINE and len(stack) == 1:
-            paragraph()
-        if tag in _ENDS_P or tag in BLOCK:
-            # A block closes an open paragraph and the inline elements inside it.
-            depth = len(stack) - 1
-            while depth > 0 and nodes[stack[depth]].tag not in BLOCK:
-                depth -= 1
-            if depth > 0 and nodes[stack[depth]].tag == "p" and tag in _ENDS_P:
-                del stack[depth:]
+            if now.implied:
+                now.close(now.implied[0])
+        elif tag in _INLINE and len(now.nodes) == 1:
+            now.push(add("p"), "p", implied=True)
+        # A block closes an open paragraph and the inline elements inside it.
+        if tag in _ENDS_P and now.blocks and now.tags[now.blocks[-1]] == "p":
+            now.close(now.blocks[-1])
         if tag in _SELF:
             closes, until = _SELF[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag in until:
-                    break
-                if nodes[stack[depth]].tag in closes.split():
-                    del stack[depth:]
-                    break
-        nodes.append(Node(tag, stack[-1], m[3] or ""))
-        nodes[stack[-1]].parts.append(len(nodes) - 1)
-        if tag in _RAW_END and not (m[3] or "").rstrip().endswith("/"):
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(len(nodes) - 1)
-    text(page[at:])
+            depth = now.last(*closes.split())
+            if depth > now.last(*until):
+                now.close(depth)
+        own, closed = add(tag, attributes), attributes.rstrip().endswith("/")
+        if tag in _RAW_END and not closed:
+            stop = _RAW_END[tag].search(page, end)
+            go_on = stop.end() if stop else len(page)
+        elif tag not in VOID and not closed:
+            now.push(own, tag)
     for node in reversed(nodes):
         for part in node.parts:
             if isinstance(part, str):

@@ -102,7 +102,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
         return assign
 
     with_cell = "vec_id long, x binary, cell int, away double"
-    data = written(candidates.mapInArrow(cells(False), with_cell), "candidates")
+    slots = max(1, -(-n // block))
+    slot = F.pmod(F.xxhash64("vec_id", "x"), F.lit(slots)).cast("int")
+    data = written(candidates.mapInArrow(cells(False), with_cell).withColumn("slot", slot), "candidates")
     asked = written(flat.filter("q").select("vec_id", "x").mapInArrow(cells(True), with_cell), "queries")
 
     # Summaries: at most pivots * (k + 1) and pivots rows.
@@ -127,7 +129,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
     for cell, (far, _) in radius.items():
         bound = np.sort(far + between[cell][near_cell] + near_away)
         reach[cell] = (bound[k] if len(bound) > k else np.inf, far)
-    slots = max(1, -(-n // block))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,8 +144,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
             for g, hit in need.items():
                 some = batch.filter(pa.array(hit))
                 if some.num_rows:
-                    slot = pa.array((some.column(0).to_numpy() % slots).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, g, np.int32)), slot, some.column(0), some.column(1)], ["g", "slot", "vec_id", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some.num_rows, g, np.int32)), some.column(4), some.column(0), some.column(1)], ["g", "slot", "vec_id", "x"])
 
     sent = data.mapInArrow(replicate, "g int, slot int, vec_id long, x binary")
     of = F.create_map(*[F.lit(v) for cell, (g, _) in groups.items() for v in (cell, g)])

@@ -41,13 +41,12 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, max_len: int = 102
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(vocabulary)
-        stored = "<u2" if len(encoder.bytes) <= 1 << 16 else "<u4"
+        stored = encoder.stored if end_id < 1 << 16 else np.dtype("<u4")
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = encoder.encode(text.as_py())
-                ids = np.empty(len(found) + 1, "<u4")
-                ids[:-1], ids[-1] = found, end_id
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 raw, kept, start = ids.tobytes(), ids.astype(stored), 0
                 for length in cuts(len(ids), max_len):
                     end = start + length
@@ -62,22 +61,23 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, max_len: int = 102
 def number(cut: DataFrame, slots: int | None = None) -> DataFrame:
     """``sequence_id`` for each row of a written table of pieces: gapless, bucket after bucket.
 
-    A bucket may hold most pieces, so it is counted in ``slots`` parts by a
-    hash of the document.  The parts' first ids come from at most
-    ``11 * slots`` counts; ranks inside a part need no other part.
+    A bucket may hold most pieces, so it is counted in ``slots`` parts by the
+    number ``row`` of the piece, whatever its document's id.  The parts' first
+    ids come from at most ``11 * slots`` counts; ranks inside a part need no
+    other part.
     """
     spark = cut.sparkSession
     slots = slots or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slotted = cut.withColumn("_slot", F.pmod(F.xxhash64("doc_id", F.col("start") % 8192), F.lit(slots)))
+    slotted = cut.withColumn("_slot", F.pmod(F.xxhash64("row"), F.lit(slots)))
     counts = slotted.groupBy("length", "_slot").count()
     before = F.sum("count").over(Window.orderBy(F.desc("length"), "_slot").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("length", "_slot", F.coalesce(before, F.lit(0)).alias("_first"))  # at most 11 * slots rows
-    rank = F.row_number().over(Window.partitionBy("length", "_slot").orderBy("doc_id", "start"))
+    rank = F.row_number().over(Window.partitionBy("length", "_slot").orderBy("row"))
     ranked = slotted.withColumn("_rank", rank).join(F.broadcast(first), ["length", "_slot"])
-    return ranked.withColumn("sequence_id", F.col("_first") + F.col("_rank") - 1).drop("_slot", "_rank", "_first")
+    return ranked.withColumn("sequence_id", F.col("_first") + F.col("_rank") - 1).drop("_slot", "_rank", "_first", "row")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents as sequences: piece, bucket (its length), ``sequence_id``, ``offset`` and ids."""
-    cut = written(pieces(docs, vocabulary, end_id, max_len, id_col, text_col), "pieces")
+    cut = written(pieces(docs, vocabulary, end_id, max_len, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return number(cut).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.col("length"))

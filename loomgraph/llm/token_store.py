@@ -4,17 +4,18 @@ Documents are range-partitioned by key and written in ascending order.  A
 shard is one file of at most ``shard_ids`` ids (a longer document has a shard
 to itself):
 
-    header    64 bytes: magic, version, id width, keys, ids, index size, levels
-    index     for each level of the hash: its number of 64-bit words, then the words
+    header    64 bytes: magic, version, id width, keys, ids, levels, rows
+    levels    for each level of the hash, its number of blocks (u4)
+    index     the blocks of all levels: 512 bits, and the number of bits set before them
     slots     for each key: fingerprint u4, rows u4, first id u8, ids u8
     rows      for each document in order: key i8, ids u8
     payload   raw little-endian ids, 2 bytes each where the vocabulary allows, else 4
 
 The minimal perfect hash puts each key at one bit of a level's bit array,
 where no other remaining key falls, and sends the rest to the next level; the
-number of bits set before a key's own is its slot.  A look-up takes a few
-hashes, one slot and one slice of the payload; the stored fingerprint turns
-down keys that the shard doesn't hold.
+number of bits set before a key's own is its slot.  A look-up reads one block
+of a few levels, one slot and one slice of the payload, however many keys the
+shard has; the stored fingerprint turns down keys that the shard doesn't hold.
 
 Files have names of their own for each attempt, and only those in the
 manifest, which Spark commits, count: a lost executor's half-written files are
@@ -22,7 +23,7 @@ never read.
 
 Defined results: a null text is the empty text (one end id); null keys are
 left out of the index but written first; rows that share a key lie side by
-side and a look-up gives them all; an empty table gives an empty manifest.
+side, in as many shards as they fill, and a look-up gives them all; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ from .shared import shared_dir, whole, written
 from .tokens import word_bpe
 
 MAGIC = b"LOOMIDS1"
-_HEAD = struct.Struct("<8sHHIQIII")
+_HEAD = struct.Struct("<8sHHIQII")
+#: Part of a level: its bits, and the number of bits set before it, in this level and the ones above.
+_BLOCK = np.dtype([("before", "<u8"), ("words", "<u8", 8)])
 _SLOT = np.dtype([("print", "<u4"), ("rows", "<u4"), ("first", "<u8"), ("ids", "<u8")])
 _ROW = np.dtype([("key", "<i8"), ("ids", "<u8")])
 _NULL = np.iinfo(np.int64).min
@@ -58,27 +61,37 @@ def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 def build_mph(keys: np.ndarray, gamma: float = 1.5) -> list[np.ndarray]:
-    """Bit arrays of the levels for distinct ``keys``, as 64-bit words."""
-    levels, left = [], keys
+    """The blocks of each level for distinct ``keys``."""
+    levels, left, before = [], keys, 0
     while len(left):
-        words = max(1, int(np.ceil(len(left) * gamma / 64)))
-        at = (_mix(left, len(levels)) % np.uint64(64 * words)).astype(np.int64)
-        alone = np.bincount(at, minlength=64 * words) == 1
-        levels.append(np.packbits(alone, bitorder="little").view("<u8"))
-        left = left[~alone[at]]
+        blocks = np.zeros(max(1, int(np.ceil(len(left) * gamma / 512))), _BLOCK)
+        at = (_mix(left, len(levels)) % np.uint64(512 * len(blocks))).astype(np.int64)
+        alone = np.bincount(at, minlength=512 * len(blocks)) == 1
+        blocks["words"] = np.packbits(alone, bitorder="little").view("<u8").reshape(-1, 8)
+        own = np.bitwise_count(blocks["words"]).sum(1, dtype=np.uint64)
+        blocks["before"] = before + np.cumsum(own) - own
+        levels.append(blocks)
+        left, before = left[~alone[at]], before + int(own.sum())
     return levels
 
 
-def slots_of(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The slot of each key, -1 for keys that fall on no set bit."""
-    out, left, before = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
-    for seed, words in enumerate(levels):
-        bits = np.unpackbits(words.view(np.uint8), bitorder="little")
-        at = (_mix(keys[left], seed) % np.uint64(len(bits))).astype(np.int64)
-        hit = bits[at] == 1
-        ranks = np.cumsum(bits, dtype=np.int64) - bits
-        out[left[hit]] = before + ranks[at[hit]]
-        left, before = left[~hit], before + int(bits.sum())
+def slots_of(sizes: list[int], read, keys: np.ndarray) -> np.ndarray:
+    """The slot of each key, -1 for keys that fall on no set bit.
+
+    ``sizes``: blocks of each level; ``read(level, numbers)`` gives blocks.
+    """
+    out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+    for level, size in enumerate(sizes):
+        if not len(left):
+            break
+        at = (_mix(keys[left], level) % np.uint64(512 * size)).astype(np.int64)
+        blocks, word, bit = read(level, at >> 9), (at >> 6) & 7, (at & 63).astype(np.uint64)
+        own = blocks["words"][np.arange(len(at)), word]
+        hit = (own >> bit) & np.uint64(1) == 1
+        whole_words = (np.bitwise_count(blocks["words"]) * (np.arange(8) < word[:, None])).sum(1, dtype=np.int64)
+        rank = whole_words + np.bitwise_count(own & ((np.uint64(1) << bit) - np.uint64(1)))
+        out[left[hit]] = blocks["before"][hit].astype(np.int64) + rank[hit]
+        left = left[~hit]
     return out
 
 
@@ -95,12 +108,12 @@ def shard_bytes(keys: list[int | None], ids: list[np.ndarray], width: int) -> by
     slots = np.zeros(len(unique), _SLOT)
     if len(unique):
         sums = np.add.reduceat(rows["ids"], at) if len(at) else rows["ids"][:0]
-        where = slots_of(levels, unique)
+        where = slots_of([len(x) for x in levels], lambda level, at: levels[level][at], unique)
         slots["print"][where] = _mix(unique, 99) >> np.uint64(32)
         slots["rows"][where], slots["first"][where], slots["ids"][where] = times, starts[at], sums
-    index = b"".join(struct.pack("<I", len(x)) + x.astype("<u8").tobytes() for x in levels)
+    index = b"".join([np.array([len(x) for x in levels], "<u4").tobytes(), *(x.tobytes() for x in levels)])
     payload = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(f"<u{width}").tobytes()
-    head = _HEAD.pack(MAGIC, 1, width, len(unique), int(rows["ids"].sum()), len(index), len(levels), len(keys))
+    head = _HEAD.pack(MAGIC, 2, width, len(unique), int(rows["ids"].sum()), len(levels), len(keys))
     return head.ljust(64, b"\0") + index + slots.tobytes() + rows.tobytes() + payload
 
 
@@ -109,25 +122,27 @@ class Shard:
 
     def __init__(self, read_at):
         self._read = read_at
-        magic, version, self.width, self.keys, self.ids, index, levels, self.n = _HEAD.unpack_from(read_at(64, 0))
-        if magic != MAGIC or version != 1:
+        magic, version, self.width, self.keys, self.ids, levels, self.n = _HEAD.unpack_from(read_at(64, 0))
+        if magic != MAGIC or version != 2:
             raise ValueError("not a shard of token ids")
-        raw, self.levels, at = read_at(index, 64), [], 0
-        for _ in range(levels):
-            (words,) = struct.unpack_from("<I", raw, at)
-            self.levels.append(np.frombuffer(raw, "<u8", words, at + 4))
-            at += 4 + 8 * words
-        self._slots = 64 + index
+        self.sizes = np.frombuffer(read_at(4 * levels, 64), "<u4").tolist()
+        self._index = 64 + 4 * levels
+        self._slots = self._index + _BLOCK.itemsize * sum(self.sizes)
         self._rows = self._slots + _SLOT.itemsize * self.keys
         self._payload = self._rows + _ROW.itemsize * self.n
 
+    def _block(self, level: int, at: np.ndarray) -> np.ndarray:
+        """One block of a level: a read of 72 bytes."""
+        number = sum(self.sizes[:level]) + int(at[0])
+        return np.frombuffer(self._read(_BLOCK.itemsize, self._index + _BLOCK.itemsize * number), _BLOCK)
+
     def _take(self, first: int, n: int) -> np.ndarray:
         return np.frombuffer(self._read(n * self.width, self._payload + first * self.width), f"<u{self.width}", n)
 
     def __getitem__(self, key: int) -> np.ndarray:
-        """The ids of ``key``, of all its rows one after another: one slot and one slice are read."""
+        """The ids of ``key``, of all its rows in this shard one after another: some blocks, one slot and one slice are read."""
         one = np.array([key], np.int64)
-        at = int(slots_of(self.levels, one)[0])
+        at = int(slots_of(self.sizes, self._block, one)[0])
         if at < 0:
             raise KeyError(key)
         slot = np.frombuffer(self._read(_SLOT.itemsize, self._slots + _SLOT.itemsize * at), _SLOT)[0]
@@ -146,7 +161,9 @@ class Shard:
         firsts = np.cumsum(ids, dtype=np.uint64) - ids
         real = np.flatnonzero(rows["key"] != _NULL)
         keys, at, times = np.unique(rows["key"][real], return_index=True, return_counts=True)
-        where = slots_of(self.levels, keys)
+        index = np.frombuffer(self._read(_BLOCK.itemsize * sum(self.sizes), self._index), _BLOCK)
+        firsts_of = np.cumsum([0, *self.sizes])
+        where = slots_of(self.sizes, lambda level, number: index[firsts_of[level] + number], keys)
         slots = np.frombuffer(self._read(_SLOT.itemsize * self.keys, self._slots), _SLOT, self.keys)
         if len(keys) != self.keys or (where < 0).any() or (where >= self.keys).any() or (slots["print"][where] != _mix(keys, 99) >> np.uint64(32)).any() or (slots["rows"][where] != times).any():
             raise ValueError("the shard's index doesn't hold the keys of its rows")
@@ -182,30 +199,33 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None =
         from pyspark import TaskContext
 
         encoder, part = word_bpe(vocabulary), TaskContext.get().partitionId()
+        stored = encoder.stored if end_id < 1 << 16 else np.dtype("<u4")
         keys, ids, size, seq = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             name = f"{path}/ids-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.bin"
-            _put(name, shard_bytes(keys, ids, 2))
+            _put(name, shard_bytes(keys, ids, stored.itemsize))
             row = [part, seq, name, next((k for k in keys if k is not None), None), keys[-1], len(keys), size]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4], strict=True)], ["part", "seq", "path", "first_key", "last_key", "documents", "ids"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = encoder.encode(text.as_py())
-                if keys and size + len(found) + 1 > shard_ids and (key is None or key != keys[-1]):
+                if keys and size + len(found) + 1 > shard_ids:
                     yield flush()
                     keys, ids, size, seq = [], [], 0, seq + 1
                 keys.append(key)
-                ids.append(np.append(found, np.uint32(end_id)).astype("<u2"))
+                ids.append(np.append(found, np.uint32(end_id)).astype(stored))
                 size += len(found) + 1
         if keys:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("key"), whole(text_col).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
-    return written(ordered.mapInArrow(shards, MANIFEST), "token-manifest")
+    # Rows of one key may lie in several parts, in the order of a hash of their text.
+    order = [F.col("key").asc_nulls_first(), F.col("tie")]
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return written(ordered.select("key", "text").mapInArrow(shards, MANIFEST), "token-manifest")
 
 
 def located(manifest: DataFrame) -> DataFrame:
@@ -242,22 +262,26 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, key_col: str = "key") -> DataFrame:
-    """``key, ids`` for each of ``keys`` that the files hold, by the shards' hash indexes."""
+    """``key, ids`` for each of ``keys`` that the files hold, by the shards' hash indexes; ids of all rows of the key, in the files' order."""
     wanted = keys.select(F.col(key_col).cast("long").alias("key")).distinct()
-    at = manifest.select("path", "first_key", "last_key")
-    grouped = wanted.join(at, F.col("key").between(F.col("first_key"), F.col("last_key"))).groupBy("path").agg(F.collect_list("key").alias("keys"))
+    at = manifest.select("path", "part", "seq", "first_key", "last_key")
+    asked = wanted.join(at, F.col("key").between(F.col("first_key"), F.col("last_key"))).select("path", "part", "seq", "key")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = shard = None
         for batch in batches:
-            got_keys, got = [], []
-            for path, wanted_keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shard = opened(path)
-                for key in wanted_keys:
-                    try:
-                        got.append(shard[key].tolist())
-                        got_keys.append(key)
-                    except KeyError:
-                        pass
-            yield pa.RecordBatch.from_arrays([pa.array(got_keys, pa.int64()), pa.array(got, pa.list_(pa.int32()))], ["key", "ids"])
-
-    return grouped.mapInArrow(find, "key long, ids array<int>")
+            got: list[list] = [[], [], [], []]
+            for wanted_path, part, seq, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if wanted_path != path:
+                    path, shard = wanted_path, opened(wanted_path)
+                try:
+                    value = (key, part, seq, shard[key].tolist())
+                except KeyError:
+                    continue
+                for column, x in zip(got, value, strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())], strict=True)], ["key", "part", "seq", "ids"])
+
+    # Keys of a shard come one after another, so it is opened once.
+    found = asked.repartition("path").sortWithinPartitions("path", "key").mapInArrow(find, "key long, part int, seq int, ids array<long>")
+    return found.groupBy("key").agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "seq", "ids")))["ids"]).alias("ids"))

@@ -2,12 +2,10 @@
 
 The merges of both BPE files run on tiktoken's core, from ranks read out of
 the file itself, several times as fast as the tokenizers library does.  Texts
-on which the two could differ go to the tokenizers library with ``WordBpe``;
-``ByteBpe`` has no such fallback.
-
-A deliberate deviation from the library with the files as they are: the literal
-content of an added token, as ``<|endoftext|>``, is ordinary text inside a text,
-as with the library's ``encode_special_tokens``.  No text can forge an end.
+on which the two could differ go to the tokenizers library: those that hold the
+literal content of an added token, as ``<|endoftext|>``, which the library
+gives the token's id, those with characters that younger Unicode tables class
+otherwise, and odd ones of ``WordBpe``.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ import functools
 import json
 import os
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -48,38 +47,70 @@ def _ids(encoding, text: str) -> np.ndarray:
         return np.array(encoding.encode_ordinary(text), np.uint32)
 
 
+def _added(path: str) -> tuple[dict[str, int], re.Pattern]:
+    """The file's added tokens, and a pattern of their contents (one that never matches, if there is none)."""
+    found = {t["content"]: t["id"] for t in json.load(open(path)).get("added_tokens", [])}
+    return found, re.compile("|".join(map(re.escape, found)) or r"(?!)")
+
+
+@functools.cache
+def unsettled() -> re.Pattern:
+    """Characters whose class (letter, number, white space or other) depends on how new an engine's Unicode tables are.
+
+    Those are the ones whose class has changed since Unicode 3.2, and those that have no meaning yet.
+    """
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    of = {c: k for k, group in enumerate(("L", "N", "Z")) for c in group}
+    odd = [c for c in range(128, sys.maxunicode + 1) if new(chr(c)) == "Cn" or of.get(new(chr(c))[0]) != of.get(old(chr(c))[0])]
+    edges = [i for i in range(len(odd)) if i == 0 or odd[i] != odd[i - 1] + 1]
+    spans = [(odd[a], odd[b - 1]) for a, b in zip(edges, [*edges[1:], len(odd)], strict=True)]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+
+
+def settled(text: str) -> bool:
+    """Whether all engines cut the text alike."""
+    return text.isascii() or not unsettled().search(text)
+
+
+def _stored(ids: int) -> np.dtype:
+    return np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+
 class ByteBpe:
-    """A byte-level BPE over a JSON vocabulary file or a rank file."""
+    """A byte-level BPE over a JSON vocabulary file or a rank file.
+
+    ``stored``: the type that ids are stored as, wide enough for all of them.
+    """
 
     #: The usual pattern; and for texts without two white-space characters in a row, where its lookahead never matters.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
 
     def __init__(self, path: str):
+        self._library, added, self._special = None, {}, re.compile(r"(?!)")
         if path.endswith(".json"):
+            from tokenizers import Tokenizer
+
             letters = _byte_letters()
+            added, self._special = _added(path)
             vocab = json.load(open(path))["model"]["vocab"]
-            self.ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if not t.startswith("<|")}
+            self.ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in added}
+            self._library = Tokenizer.from_file(path)
         else:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self._full, self._plain = (_encoding(k, p, self.ranks) for k, p in (("full", self.PATTERN), ("plain", self.PLAIN)))
-        self.bytes = [b""] * (max(self.ranks.values()) + 1)
-        for token, i in self.ranks.items():
+        self.bytes = [b""] * (max([*self.ranks.values(), *added.values()]) + 1)
+        for token, i in (*self.ranks.items(), *((t.encode(), i) for t, i in added.items())):
             self.bytes[i] = token
+        self.stored = _stored(len(self.bytes))
         self.digits = list(map(str, range(len(self.bytes))))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text."""
+        if self._library and (self._special.search(text) or not settled(text)):
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
         return _ids(self._full if _TWO.search(text) else self._plain, text)
 
-    def pieces(self, pieces: list[str]) -> np.ndarray:
-        """Ids of pre-tokens, each merged by itself."""
-        out: list[int] = []
-        single = self._full._encode_single_piece
-        for piece in pieces:
-            out += single(piece)
-        return np.array(out, np.uint32)
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -100,19 +131,23 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         letters = _byte_letters()
+        added, self._special = _added(path)
         ranks = {}
-        for token, i in json.load(open(path))["model"]["vocab"].items():
-            if not token.startswith("<|"):
+        vocab = json.load(open(path))["model"]["vocab"]
+        for token, i in vocab.items():
+            if token not in added:
                 ended = token.endswith("</w>")
                 ranks[bytes(letters[c] for c in token.removesuffix("</w>")) + b" " * ended] = i
         self._words = _encoding("words", self._PATTERN, ranks)
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self.stored = _stored(max([*vocab.values(), *added.values()]) + 1)
         numbers = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Nd", "Nl", "No"))
         self._apart = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+|[{re.escape(numbers)}]")
 
     def _odd(self, text: str) -> bool:
-        if self._ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+        if text.isascii():
+            return bool(self._special.search(text.lower()) or self._ODD.search(text))
+        if not settled(text) or self._special.search(text.lower()) or self._ODD.search(text) or not unicodedata.is_normalized("NFC", text):
             return True
         return any(c > "\uffff" and unicodedata.category(c)[0] == "N" for c in set(self._WIDE.findall(text)))
 

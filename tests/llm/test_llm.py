@@ -15,7 +15,7 @@ from loomgraph.llm import byte_codec, chat, exact_dedup, html_extract, knn, ngra
 
 SF = "/root/testdata/sf0.001"
 BYTE, MULTI, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"))
-ODD = ["", None, " ", "  a  b\n\n c\t\td ", "it's 'stuff \"'s a_b __ x²½Ⅷ", "ΣΑΣ İstanbul", "é <|endoftext|> \x1c z", "don't can'TLL I'LL", "١٢٣ 一二", "a　b c  ", "***&&&$$$ a1b2", "🙂🙂 x", "x" * 5000, "word " * 3000, " " * 4000 + "a", "same", "same"]
+ODD = ["", None, " ", "  a  b\n\n c\t\td ", "it's 'stuff \"'s a_b __ x²½Ⅷ", "ΣΑΣ İstanbul", "é <|endoftext|> \x1c z", "a <|startoftext|> b<|endoftext|>", "x\U00010ee7y \u1c89\ua7cb z\u0378 ", "don't can'TLL I'LL", "١٢٣ 一二", "a　b c  ", "***&&&$$$ a1b2", "🙂🙂 x", "x" * 5000, "word " * 3000, " " * 4000 + "a", "same", "same"]
 DOCS = "doc_id long, text string, lang string, _text string, _n int, label int"
 
 
@@ -48,7 +48,6 @@ def library(path):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text, add_special_tokens=False).ids
 
 
@@ -143,8 +142,12 @@ def test_token_store(spark, odd, documents, none):
             ids = [*encode(t), 2]
             want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
-        assert [(k, n, c) for k, _, n, c in got] == [(k, n, c) for k, _, n, c in sorted(want)]
-        assert sorted(s for _, s, _, _ in got) == sorted(s for _, s, _, _ in want)
+        # Rows of one id may lie in any order; each has its own start.
+        key = lambda r: (r[0], r[2], r[3])
+        assert sorted(map(key, got)) == sorted(map(key, want))
+        assert [r[1] for r in sorted(got, key=lambda r: r[1])] == list(np.cumsum([0, *[r[2] for r in sorted(got, key=lambda r: r[1])]])[:-1])
+        if df is documents:
+            assert got == sorted(want)
     ids = dict(docs_of(documents))
     found = {r.key: r.ids for r in token_store.lookup(manifest, spark.createDataFrame([(3,), (150,), (10**9,)], "key long")).collect()}
     assert found == {k: [*encode(ids[k]), 2] for k in (3, 150)}
@@ -156,7 +159,38 @@ def test_minimal_perfect_hash():
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
     keys = np.unique(keys)
     levels = token_store.build_mph(keys)
-    assert sorted(token_store.slots_of(levels, keys).tolist()) == list(range(len(keys)))
+    read = []
+
+    def blocks(level, at):
+        read.append(len(at))
+        return levels[level][at]
+
+    sizes = [len(x) for x in levels]
+    assert sorted(token_store.slots_of(sizes, blocks, keys).tolist()) == list(range(len(keys)))
+
+
+def test_look_ups_take_constant_time():
+    """Bytes read for a look-up don't grow with the number of keys."""
+    most = []
+    for n in (1_000, 10_000, 100_000):
+        keys = np.arange(n) * 7
+        raw = token_store.shard_bytes(keys.tolist(), [np.array([k % 50_000], np.uint32) for k in keys], 2)
+        read = []
+
+        def read_at(size, at, raw=raw, read=read):
+            read.append(size)
+            return raw[at : at + size]
+
+        shard = token_store.Shard(read_at)
+        worst = 0
+        for key in keys[:: n // 200]:
+            read.clear()
+            assert shard[int(key)].tolist() == [int(key) % 50_000]
+            worst = max(worst, sum(read))
+        with pytest.raises(KeyError):
+            shard[3]
+        most.append(worst)
+    assert max(most) < 1500
 
 
 def test_null_keys_are_written(spark):
@@ -164,6 +198,10 @@ def test_null_keys_are_written(spark):
     manifest = token_store.write(df, WORD)
     assert sorted(r.n_tokens for r in token_store.read(manifest).collect()) == [2, 2, 3]
     assert len(token_store.lookup(manifest, spark.createDataFrame([(5,)], "key long")).first().ids) == 4
+    # Rows of one key may fill several shards.
+    many = token_store.write(spark.createDataFrame([(5, f"word {i}") for i in range(40)], "doc_id long, text string"), WORD, shard_ids=30)
+    assert many.count() > 2
+    assert sum(len(r.ids) for r in token_store.lookup(many, spark.createDataFrame([(5,)], "key long")).collect()) == many.agg(F.sum("ids")).first()[0]
 
 
 # 4: chat
@@ -185,6 +223,7 @@ def test_chat(spark):
         assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     one = sorted((r for r in examples.collect() if r.conv_id == 1), key=lambda r: r.example)
     assert len(one) == 4 and one[-1].loss_start is None
+    assert [r.last for r in one] == [False, False, True, True]
     assert chat.parse(one[1].text) == by[1][:4] and one[1].turns == 4
     assert chat.unescape(one[1].text[one[1].loss_start : one[1].loss_end]) == "b\\"
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
@@ -285,7 +324,6 @@ def test_segments_are_maximal():
     for _ in range(200):
         scores = rng.uniform(0.5, 9, int(rng.integers(1, 12)))  # no ties
         at = np.sort(rng.choice(60, len(scores), replace=False))
-        found = [(int(p), int(p), int(p) + 1, float(s)) for p, s in zip(at, scores, strict=True)]
         line = np.full(60, -1.0)
         line[at] = scores
 
@@ -295,7 +333,7 @@ def test_segments_are_maximal():
                 return []
             return [*parts(a, -best[1]), best[0], *parts(best[2], b)]
 
-        assert [round(s, 6) for s, _, _ in toxicity.segments(found, -1.0)] == [round(s, 6) for s in parts(0, 60)]
+        assert [round(s, 6) for s, _, _ in toxicity.segments(line)] == [round(s, 6) for s in parts(0, 60)]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -321,7 +359,7 @@ def test_classifiers_on_odd_rows(spark, odd, none):
 
 
 def test_toxic_passages():
-    model = toxicity.Model({"idiot": 5.0, "loser": 5.0}, rest=-0.05, k=0.05)
+    model = toxicity.Model.of({"idiot": 5.0, "loser": 5.0}, drift=0.05, k=0.05)
     text = "plain words " * 30 + "you idiot, loser" + " plain words" * 30
     ((a, b, score, p),) = toxicity.passages(text, model)
     assert text[a:b] == "idiot, loser" and score > 9 and p < 0.01
@@ -405,11 +443,12 @@ def test_documents_are_found_by_the_index():
         found(wrong)
 
 
-def test_added_tokens_inside_a_text_are_ordinary_text():
+def test_added_tokens_inside_a_text():
+    """As the libraries have them, with the files as they are."""
     from loomgraph.llm.tokens import byte_bpe, word_bpe
 
     for path, encoder in ((BYTE, byte_bpe(BYTE)), (WORD, word_bpe(WORD))):
-        for text in ("one <|endoftext|> two", "<|startoftext|>one", "<|endoftext|> Σ"):
+        for text in ("one <|endoftext|> two", "<|startoftext|>one", "<|endoftext|> Σ", "<|ENDOFTEXT|> a", "x\U00010ee7 y"):
             assert encoder.encode(text).tolist() == library(path)(text)
 
 
