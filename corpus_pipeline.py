@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import exact_dedup, ngram_join, packing, quality, queries, toxicity
-from loomgraph.llm.shared import written
+from loomgraph.llm.shared import fresh_names, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles; rows without an id stay."""
-    first = ngram_join.link_classes(docs, n=5, percent=80).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    (name,) = fresh_names(docs, "other")
+    others = ngram_join.link_classes(docs, n=5, percent=80).filter("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
+    # Few documents go, as a rule: a written table, so that Spark knows its size and broadcasts it only if it is small.
+    return docs.join(written(others, "near-copies"), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
