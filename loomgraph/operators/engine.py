@@ -3,8 +3,8 @@
 A superstep joins the state with the inbox, projects the new state, joins the
 computed vertices with the edges they send along, and groups what they send by
 target, which Spark combines before the shuffle.  Each step's state and inbox
-are checkpointed, so a long run neither grows its plan nor loses its past with
-an executor.
+are cached, and every few steps checkpointed, so a long run neither grows its
+plan nor loses its past with an executor; what is older is deleted.
 
 State, inbox and edges are hash-partitioned by vertex into the same number of
 partitions, and checkpoints keep that, so the messages' shuffle is the only one
@@ -19,17 +19,21 @@ while the checkpoints are written, without a job of their own.
 from __future__ import annotations
 
 import itertools
-import tempfile
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph, undirected
+from ..sources.shared import shared_folder
 from .program import COMBINERS, Aggregator, Along, Combine, Context, PandasStep, PregelStep, QueryStep, Send, VertexProgram
 
 
+#: A checkpoint is written each so many supersteps.
+EVERY = 4
+
+
 @dataclass
 class Result:
     """``state`` has ``id, value, halted``; ``history`` a record for each superstep; ``edges`` what they became."""
@@ -39,7 +43,6 @@ class Result:
     history: list[dict]
     edges: DataFrame
     seconds: float = 0.0
-    inbox: DataFrame | None = field(default=None, repr=False)
 
     def values(self, name: str = "value") -> DataFrame:
         return self.state.select("id", F.col("value").alias(name))
@@ -50,12 +53,7 @@ def use_shared_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    context.setCheckpointDir(folder)
+    context.setCheckpointDir(shared_folder(spark))
 
 
 def active(halted: str = "halted", has_msg: str = "has_msg") -> Column:
@@ -236,21 +234,39 @@ def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_st
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def _observed(df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, dict]:
+def _observed(df: DataFrame, facts: dict[str, Column], durable: bool = True) -> tuple[DataFrame, dict]:
     """``df`` checkpointed, and aggregates of its rows that are taken on the way.
 
     It is cached while the checkpoint is written, for the sake of its size: a
     plain checkpoint keeps the estimate of its plan, where a join counts as the
-    product of its sides, and from step to step that grows without end.
+    product of its sides, and from step to step that grows without end.  One
+    that isn't ``durable`` is only cached; executors that are lost make it again
+    from the last checkpoint.
     """
     seen, cached = Observation(), df.persist()
+    watched = cached.observe(seen, *[c.alias(k) for k, c in facts.items()])
+    if not durable:
+        watched.write.format("noop").mode("overwrite").save()
+        return cached, seen.get
     try:
-        kept = cached.observe(seen, *[c.alias(k) for k, c in facts.items()]).checkpoint()
+        kept = watched.checkpoint()
     finally:
         cached.unpersist()
     return kept, seen.get
 
 
+def _forget(frames: list[DataFrame]) -> None:
+    """Frees what frames that nothing needs any more have cached, or written as checkpoints."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        df.unpersist()
+    frames.clear()
+
+
 def _kept(df: DataFrame) -> DataFrame:
     return _observed(df, {"rows": F.count(F.lit(1))})[0]
 
@@ -271,6 +287,7 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | N
     first = F.element_at(F.array(program.initial(context)), 1)
     state = _kept(state.withColumn("value", first).withColumn("halted", F.lit(False)).repartition(n, "id"))
     inbox: DataFrame | None = None
+    old: list[DataFrame] = [state]
     history: list[dict] = []
     began = time.monotonic()
     for number in itertools.count():
@@ -292,15 +309,20 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | N
         # Halting votes, counts and aggregators while the state is written.
         facts = {"computed": F.count_if("active"), "all": F.coalesce(F.bool_and(F.when(F.col("active"), F.col("halted"))), F.lit(True)), "awake": F.count_if(~F.col("halted"))}
         facts |= {f"agg_{k}": program.aggregators[k].how(F.when(F.col("active"), c)) for k, c in aggregate.items()}
-        done, row = _observed(done, facts)
+        # Each few steps a checkpoint; between them the cache will do.
+        durable = number % EVERY == EVERY - 1 or isinstance(step, PregelStep) and (step.edge_value is not None or step.edge_target is not None or bool(step.add_edges))
+        done, row = _observed(done, facts, durable)
         if isinstance(step, PandasStep):
             messages = done.filter("active").select(F.explode("_sent").alias("_m")).select("_m.dst", "_m.msg")
         elif isinstance(step, PregelStep):
             messages = outbox(done, edges, step.sends)
         inbox, sent = None, 0
         if messages is not None:
-            inbox, seen = _observed(combine(messages, step.combine), count)
+            inbox, seen = _observed(combine(messages, step.combine), count, durable)
             sent = seen["rows"]  # before unknown targets are dropped
+        if durable:
+            _forget(old)
+        old += [x for x in (done, inbox) if x is not None]
         if isinstance(step, PregelStep) and (step.edge_value is not None or step.edge_target is not None or step.add_edges):
             edges = Edges(_kept(_changed_edges(edges.plain, done, step)), n)
         for name, a in program.aggregators.items():
@@ -312,7 +334,9 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | N
         if row["all"] and not sent:
             break
         inbox = inbox if sent else None
-    return Result(state, aggregated, history, edges.plain, time.monotonic() - began, inbox)
+    state = _kept(state)
+    _forget(old)
+    return Result(state, aggregated, history, edges.plain, time.monotonic() - began)
 
 
 def _next(a: Aggregator, before: object, now: object) -> object:

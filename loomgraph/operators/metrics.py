@@ -25,9 +25,20 @@ def sample_std(c: str | Column) -> Column:
 
 
 def metrics_during(metrics: DataFrame, states: DataFrame) -> DataFrame:
-    """Samples with each operation of their step and worker during which they were taken, both ends included."""
-    s = states.select("run", "step", "worker", "op", "start_ms", F.coalesce("stop_ms", F.lit(OPEN)).alias("_stop"))
-    return metrics.join(s, ["run", "step", "worker"]).filter(F.col("ts_ms").between(F.col("start_ms"), F.col("_stop"))).drop("_stop")
+    """Samples with each operation of their step and worker during which they were taken, both ends included.
+
+    Time is cut into bins as wide as the mean interval, so that a sample meets
+    the intervals of its bin, not all of its worker's; an interval lies in two
+    bins or so.  Open intervals end at the last sample.
+    """
+    keys = ["run", "step", "worker"]
+    last = metrics.groupBy(*keys).agg(F.max("ts_ms").alias("_last"))
+    s = states.join(last, keys).select(*keys, "op", "start_ms", F.least(F.coalesce("stop_ms", F.lit(OPEN)), "_last").alias("_stop")).filter("start_ms <= _stop")
+    width = max(1, int(s.agg(F.avg(F.col("_stop") - F.col("start_ms"))).first()[0] or 1))
+    bin_of = lambda c: F.floor(F.col(c) / width)
+    pieces = s.withColumn("_bin", F.explode(F.sequence(bin_of("start_ms"), bin_of("_stop"))))
+    both = metrics.withColumn("_bin", bin_of("ts_ms")).join(pieces, [*keys, "_bin"])
+    return both.filter(F.col("ts_ms").between(F.col("start_ms"), F.col("_stop"))).drop("_stop", "_bin")
 
 
 def of_known_workers(samples: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -233,9 +244,15 @@ def newest(runs: DataFrame, by: str, order: str, k: int = 3, tie: str = "run") -
     return runs.withColumn("place", rank).filter(F.col("place") <= k)
 
 
-def beats(a: Column, b: Column, lower: bool = True) -> Column:
-    """1 for a win, 0.5 for a draw, 0 for a loss."""
-    return F.when(a < b if lower else a > b, 1.0).when(a == b, 0.5).otherwise(0.0)
+def by_score(scores: DataFrame, by: str) -> DataFrame:
+    """``by, score, place``, the highest score first; a row for each policy, so one window is small."""
+    best = [F.desc("score"), F.asc(by)]
+    return scores.withColumn("place", F.row_number().over(Window.orderBy(*best))).orderBy(*best)
+
+
+def zipped(one: DataFrame, two: DataFrame, by: str, position: str = "position") -> DataFrame:
+    """Two series side by side: rows of a group that have the same position in both."""
+    return one.join(two, [by, position])
 
 
 def tournament(averages: DataFrame, by: str, lower: list[str], higher: list[str | Column] = ()) -> DataFrame:

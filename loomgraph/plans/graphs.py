@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..sources.shared import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +35,16 @@ def parts_and_suppliers(spark: SparkSession, sf_dir: str) -> Graph:
 
 def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's user and the next event's; the edge value is the event's value."""
-    # One sequence over all events: days are sorted by themselves, and each day's last event meets the next day's first.
-    day = F.to_date("ts")
-    events = table(spark, sf_dir, "events").select(day.alias("day"), "ts", "event_id", "user_id", "value")
-    inside = Window.partitionBy("day").orderBy("ts", "event_id")
-    within = events.withColumn("next", F.lead("user_id").over(inside))
-    firsts = events.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
-    following = firsts.select("day", F.lead("first").over(Window.orderBy("day")).alias("then"))  # a row for each day
-    joined = within.join(following, "day").withColumn("dst", F.coalesce("next", "then"))
+    # One sequence over all events: ranges of it are sorted by themselves, and each one's last event meets the next one's first.
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "value")
+    path = scratch(spark, "events")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events.repartitionByRange(n, "ts", "event_id").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    events = spark.read.parquet(path)
+    within = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("part").orderBy("ts", "event_id")))
+    firsts = events.groupBy("part").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    following = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("then"))  # a row for each range
+    joined = within.join(F.broadcast(following), "part").withColumn("dst", F.coalesce("next", "then"))
     return joined.filter("dst IS NOT NULL").select(F.col("user_id").alias("src"), "dst", F.col("value").alias("e"))
 
 

@@ -1,4 +1,4 @@
-"""Partitioners, run metrics and policies on golden inputs."""
+"""Partitioners and run metrics on golden inputs."""
 
 import math
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import partitioning as p
 from loomgraph.operators import metrics as m
-from loomgraph.operators import policies
 
 
 def owners(df, c):
@@ -68,28 +67,6 @@ def test_tournament_against_pairs(spark):
     assert got == {n: sum(win(x, y) + win(q, h) for _, y, q in rows) for n, x, h in rows}
 
 
-def test_averaging_policy():
-    decide = policies.averaging()
-    known = policies.Known(0, [0, 1, 2], 20, {0: 10.0, 1: 1.0, 2: 1.0}, {0: 4.0})
-    grown = decide(known)
-    assert grown == policies.Decision("grow", (3,), ((0, 3, 0.6),))
-    worse = policies.Known(1, [0, 1, 2, 3], 20, dict.fromkeys(range(4), 5.0), {0: 4.0, 1: 5.0}, {0: grown})
-    assert decide(worse) == policies.Decision("shrink", (3,))
-    better = policies.Known(1, [0, 1, 2, 3], 20, dict.fromkeys(range(4), 3.0), {0: 4.0, 1: 3.0}, {0: grown})
-    assert decide(better) is None
-    assert decide(policies.Known(0, [0, 1], 2, {0: 9.0, 1: 1.0}, {0: 5.0})) is None  # no worker left to add
-    assert decide(policies.Known(0, [0, 1], 20, {0: 9.0}, {0: 9.0})) is None  # a worker without a value
-    assert policies.always_grow(known).moves == ((0, 3, 1 / 3), (1, 3, 1 / 3), (2, 3, 1 / 3))
-    assert policies.always_shrink_naive(known) == policies.Decision("shrink", (2,)) and policies.never(known) is None
-
-
-def test_replay(spark):
-    states = spark.createDataFrame([("r", s, w, "RUN_SUPERSTEP", 0, 100 * (1 + 9 * (w == 0))) for s in (0, 1) for w in (0, 1)], "run string, step int, worker long, op string, start_ms long, stop_ms long")
-    sd = spark.createDataFrame([("r", 0, -1, 0, 2, 2), ("r", 1, 0, 1, 2, 2)], "run string, seq int, step int, time_ms long, supply int, demand int")
-    got = policies.replay(policies.wall_clock_values(states), sd, "r", policies.averaging())
-    assert got[0].kind == "grow" and got[1].kind == "shrink"
-
-
 def test_whole_performance_tournament(spark):
     """Of two policies that tie in four measures, the other three decide."""
     names = ["policy", *m.PERFORMANCE, "vps", "eps"]
