@@ -54,22 +54,19 @@ def _added(path: str) -> tuple[dict[str, int], re.Pattern]:
 
 
 @functools.cache
-def unsettled() -> re.Pattern:
-    """Characters whose class (letter, number, white space or other) depends on how new an engine's Unicode tables are.
+def _unsettled() -> np.ndarray:
+    """For each character, whether its class (letter, number, white space or other) depends on how new an engine's Unicode tables are.
 
-    Those are the ones whose class has changed since Unicode 3.2, and those that have no meaning yet.
+    Such are those whose class has changed since Unicode 3.2, and those that have no meaning yet.
     """
     old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
-    of = {c: k for k, group in enumerate(("L", "N", "Z")) for c in group}
-    odd = [c for c in range(128, sys.maxunicode + 1) if new(chr(c)) == "Cn" or of.get(new(chr(c))[0]) != of.get(old(chr(c))[0])]
-    edges = [i for i in range(len(odd)) if i == 0 or odd[i] != odd[i - 1] + 1]
-    spans = [(odd[a], odd[b - 1]) for a, b in zip(edges, [*edges[1:], len(odd)], strict=True)]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]")
+    kinds = {"L": 1, "N": 2, "Z": 3}
+    return np.array([c > 127 and (new(chr(c)) == "Cn" or kinds.get(new(chr(c))[0]) != kinds.get(old(chr(c))[0])) for c in range(sys.maxunicode + 1)])
 
 
 def settled(text: str) -> bool:
     """Whether all engines cut the text alike."""
-    return text.isascii() or not unsettled().search(text)
+    return text.isascii() or not _unsettled()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any()
 
 
 def _stored(ids: int) -> np.dtype:

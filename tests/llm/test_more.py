@@ -188,6 +188,45 @@ def test_quality_scores_by_plain_table_look_ups(spark):
     assert once == again and len(set(once.values())) > 10
 
 
+def naive_measures(t):
+    words = t.split()
+    if not words:
+        return [0.0] * len(quality.MEASURES)
+    n, chars = len(words), len(t)
+    of = lambda letters: sum(c in letters for c in t)
+    spaces, ends, counts = of(" \t\r"), of("\n"), sorted((words.count(w) for w in set(words)), reverse=True)
+    lines = [x for x in t.split("\n") if x]
+    short = sum(words.count(w) for w in set(words) if len(w) <= 3)
+    same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    return [
+        math.log(1 + chars), math.log(1 + n), (chars - spaces - ends) / n, of("#$%&*@^~=+\\_") / chars, of("|") / n, of(".,;:!?'\"-()") / chars, sum("A" <= c <= "Z" for c in t) / n, sum("0" <= c <= "9" for c in t) / chars,
+        len(counts) / n**0.8, same / n, counts[0] / n, sum(counts[:3]) / n, 1 - len(set(lines)) / max(1, len(lines)), math.log(1 + n / max(1, len(lines))),
+        math.log(1 + n / (1 + of(".!?"))), short / n, spaces / chars, of("{}[]<>") / chars,
+    ]
+
+
+@needs_data
+def test_quality_by_brute_force(spark):
+    """Every score of the table again: plain counts, a bin by counting edges, one addition for each table."""
+    model = quality.fit(queries.taught(spark, SF, "quality"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.filter("n_chars < 4000").collect():
+        bins = [sum(e <= v + 1e-12 * abs(v) for e in edges) for v, edges in zip(naive_measures(r.text or ""), model.edges, strict=True)]
+        z = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for i, j, t in model.pairs)
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-6
+    assert len(got) == docs.count()
+
+
+def test_tree_cuts_are_the_best_ones():
+    rng = np.random.default_rng(5)
+    g, h = rng.normal(size=9), rng.uniform(3, 9, 9)
+    value = lambda a, b: g[a:b].sum() / (h[a:b].sum() + 1)
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    cut = max(range(1, 9), key=lambda k: gain(0, k) + gain(k, 9))
+    assert np.allclose(quality._leaves(g, h, 1), [value(0, cut)] * cut + [value(cut, 9)] * (9 - cut))
+
+
 # 8: HTML
 
 
