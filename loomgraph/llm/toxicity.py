@@ -26,6 +26,7 @@ toxic ones; repeated rows are scored alike; further columns aren't read.
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import re
 from array import array
@@ -67,16 +68,30 @@ class Model:
         found = sorted((_key(w, True), o) for w, o in words.items())
         return Model(np.array([k for k, _ in found], np.uint64), np.array([o for _, o in found], np.float32), **more)
 
+    @functools.cached_property
+    def scores(self) -> Scores:
+        """Scores that the tasks of one Python worker share."""
+        return Scores(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "scores"}
+
 
 class Scores(dict):
     """The score of each word as it comes up, upper case as lower case."""
 
-    MOST = 1_000_000
+    MOST = 200_000
 
     def __init__(self, model: Model):
         self._keys, self._odds, self._depths, self._drift = array("Q", model.keys.tobytes()), model.odds, model.depths, model.drift
+        # Most keys that aren't there are turned down by their last bits.
+        ends = np.zeros(1 << 24, np.uint8)
+        ends[(model.keys & np.uint64(0xFFFFFF)).astype(np.int64)] = 1
+        self._ends = ends.tobytes()
 
     def _at(self, key: int) -> int:
+        if not self._ends[key & 0xFFFFFF]:
+            return -1
         i = bisect.bisect_left(self._keys, key)
         return i if i < len(self._keys) and self._keys[i] == key else -1
 
@@ -128,7 +143,7 @@ def _scored(words: list[str], scores: Scores) -> np.ndarray:
 def passages(text: str, model: Model, significant: float = 0.01) -> list[tuple[int, int, float, float]]:
     """(first character, end, score, p-value) of the significant toxic passages of a text."""
     spans = [m.span() for m in _WORD.finditer(text)]
-    found = segments(_scored([text[a:b] for a, b in spans], Scores(model)))
+    found = segments(_scored([text[a:b] for a, b in spans], model.scores))
     with_p = [(spans[a][0], spans[b][1], s, math.exp(log_p(s, len(spans), model))) for s, a, b in found]
     return [x for x in with_p if x[3] <= significant]
 
@@ -287,7 +302,7 @@ def fit(train: DataFrame, prior: float = 8.0, drift: float = 1.5) -> Model:
     given = spark.sparkContext.broadcast(halves)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = [Scores(m) for m in given.value]
+        scores = [m.scores for m in given.value]
         for batch in batches:
             out: list[list] = [[], []]
             for text, label, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -302,7 +317,7 @@ def fit(train: DataFrame, prior: float = 8.0, drift: float = 1.5) -> Model:
     whole_model.scale, whole_model.k = scale, k
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = [Scores(m) for m in given.value]
+        scores = [m.scores for m in given.value]
         law = Model.of({}, scale=scale, k=k)
         for batch in batches:
             x = [_features(t.as_py(), scores[half], law) for t, half in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
@@ -322,7 +337,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
-        scores = Scores(model)
+        scores = model.scores
         for batch in batches:
             x = [_features(t.as_py(), scores, model) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_score(v, model.weights) for v in x], pa.float64()), pa.array([round(math.expm1(v[1])) for v in x], pa.int64())], ["doc_id", "score", "passages"])
@@ -350,7 +365,7 @@ def filter_rows(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
-        scores = Scores(model)
+        scores = model.scores
         for batch in batches:
             fine = [_score(_features(t.as_py() or "", scores, model), model.weights) < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(fine, pa.bool_()))
