@@ -36,7 +36,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +44,21 @@ from .shared import whole, written
 _WORD = re.compile(r"\w+")
 
 
-def _key(text: str, word: bool) -> int:
-    """The number of a whole word, or of a prefix."""
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=int(word))
+_MASK, _FACTOR, _END = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0x110001
+
+
+def _prefix_keys(word: str, most: int | None = None) -> list[int]:
+    """The number of each prefix of a word, the empty one first, up to a length."""
+    out, h = [0], 0
+    for c in word[:most]:
+        h = ((h ^ (h >> 29)) * _FACTOR + ord(c) + 1) & _MASK
+        out.append(h)
+    return out
+
+
+def _word_key(word: str) -> int:
+    h = _prefix_keys(word)[-1]
+    return ((h ^ (h >> 29)) * _FACTOR + _END) & _MASK
 
 
 @dataclass
@@ -65,7 +76,7 @@ class Model:
     @staticmethod
     def of(words: dict[str, float], **more) -> Model:
         """A model of given words' log-odds, 0 for others."""
-        found = sorted((_key(w, True), o) for w, o in words.items())
+        found = sorted((_word_key(w), o) for w, o in words.items())
         return Model(np.array([k for k, _ in found], np.uint64), np.array([o for _, o in found], np.float32), **more)
 
     @functools.cached_property
@@ -80,31 +91,34 @@ class Model:
 class Scores(dict):
     """The score of each word as it comes up, upper case as lower case."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self, model: Model):
-        self._keys, self._odds, self._depths, self._drift = array("Q", model.keys.tobytes()), model.odds, model.depths, model.drift
-        # Most keys that aren't there are turned down by their last bits.
-        ends = np.zeros(1 << 24, np.uint8)
-        ends[(model.keys & np.uint64(0xFFFFFF)).astype(np.int64)] = 1
-        self._ends = ends.tobytes()
+        self._keys, self._odds, self._drift = array("Q", model.keys.tobytes()), model.odds, model.drift
+        self._depths, self._deepest = model.depths, max(model.depths)
+        # Most keys that aren't there are turned down by some of their bits.
+        bits = np.zeros(1 << 22, np.uint8)
+        bits[(model.keys >> np.uint64(42)).astype(np.int64)] = 1
+        self._bits = bits.tobytes()
 
     def _at(self, key: int) -> int:
-        if not self._ends[key & 0xFFFFFF]:
+        if not self._bits[key >> 42]:
             return -1
         i = bisect.bisect_left(self._keys, key)
         return i if i < len(self._keys) and self._keys[i] == key else -1
 
     def __missing__(self, word: str) -> float:
         low = word.lower()
-        at = self._at(_key(low, True))
-        if at < 0:
-            at = next((i for d in self._depths if d <= len(low) and (i := self._at(_key(low[:d], False))) >= 0), -1)
-        found = (float(self._odds[at]) if at >= 0 else 0.0) - self._drift
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = found
-        return found
+        at = self._at(_word_key(low))
+        if at >= 0:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = found = float(self._odds[at]) - self._drift
+            return found
+        # Words that no labelled text has are rarely met again, so they aren't kept.
+        keys = _prefix_keys(low, self._deepest)
+        at = next((i for d in self._depths if d < len(keys) and (i := self._at(keys[d])) >= 0), -1)
+        return (float(self._odds[at]) if at >= 0 else 0.0) - self._drift
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -295,7 +309,7 @@ def fit(train: DataFrame, prior: float = 8.0, drift: float = 1.5) -> Model:
     clean0, toxic0, clean1, toxic1 = (table.column(c).to_numpy()[order].astype(float) for c in _COUNTS)
     # All texts, and for each half the counts of the other one.
     prefixes, shared, own = log_odds(words, np.array([toxic0 + toxic1, toxic1, toxic0]), np.array([clean0 + clean1, clean1, clean0]), prior)
-    keys = np.array([*(_key(w, True) for w in words), *(_key(p, False) for p in prefixes)], np.uint64)
+    keys = np.array([*map(_word_key, words), *(_prefix_keys(p)[-1] for p in prefixes)], np.uint64)
     by = np.argsort(keys)
     depths = sorted({len(p) for p in prefixes}, reverse=True)
     whole_model, *halves = (Model(keys[by], np.concatenate([o, s])[by].astype(np.float32), depths, drift) for o, s in zip(own, shared, strict=True))
@@ -324,6 +338,7 @@ def fit(train: DataFrame, prior: float = 8.0, drift: float = 1.5) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([v[i] for v in x], pa.float64()) for i in range(2)]], ["label", "a", "b"])
 
     got = train.mapInArrow(measured, "label int, a double, b double").toArrow()
+    given.destroy()
     whole_model.weights = _logistic(np.column_stack([got.column(i).to_numpy() for i in (1, 2)]), got.column(0).to_numpy())
     return whole_model
 
