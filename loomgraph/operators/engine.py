@@ -3,8 +3,8 @@
 A superstep joins the state with the inbox, projects the new state, joins the
 computed vertices with the edges they send along, and groups what they send by
 target, which Spark combines before the shuffle.  Each step's state and inbox
-are cached, and every few steps checkpointed, so a long run neither grows its
-plan nor loses its past with an executor; what is older is deleted.
+are checkpointed, so a long run neither grows its plan nor loses its past with
+an executor; those of the step before are then deleted.
 
 State, inbox and edges are hash-partitioned by vertex into the same number of
 partitions, and checkpoints keep that, so the messages' shuffle is the only one
@@ -30,10 +30,6 @@ from ..sources.shared import shared_folder
 from .program import COMBINERS, Aggregator, Along, Combine, Context, PandasStep, PregelStep, QueryStep, Send, VertexProgram
 
 
-#: A checkpoint is written each so many supersteps.
-EVERY = 4
-
-
 @dataclass
 class Result:
     """``state`` has ``id, value, halted``; ``history`` a record for each superstep; ``edges`` what they became."""
@@ -150,9 +146,11 @@ def _changed_edges(edges: DataFrame, done: DataFrame, step: PregelStep) -> DataF
     return edges
 
 
-def ask(joined: DataFrame, edges: DataFrame, step: QueryStep, partitions: int) -> DataFrame:
+def ask(joined: DataFrame, edges: DataFrame, step: QueryStep, partitions: int, past: list[DataFrame]) -> DataFrame:
     """The state after a query-answer-process step: ``msg`` holds the gathered answers at ``process``.
 
+    The checkpoint of what the queries wrote goes to ``past``, for the caller to delete.
+
     Answers see the values that all queries wrote, and none that processing writes.
     Vertices that are asked more often than twice a partition's fair share are
     joined by broadcast.
@@ -163,6 +161,7 @@ def ask(joined: DataFrame, edges: DataFrame, step: QueryStep, partitions: int) -
     if step.query_value is not None:
         asked = asked.withColumn("value", F.when(now, step.query_value.cast(kind)).otherwise(F.col("value")))
     asked, seen = _observed(asked, {"queries": F.sum(F.when(F.col("active"), F.size(step.queries)))})
+    past.append(asked)
     queries = asked.filter("active").select(F.col("id").alias("src"), F.explode(step.queries).alias("_q")).select("src", F.col("_q.dst").alias("dst"), F.col("_q.s").alias("s"))
     target = asked.select(F.col("id").alias("_target"), "value")
     if step.reads_edges:
@@ -234,36 +233,28 @@ def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_st
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def _observed(df: DataFrame, facts: dict[str, Column], durable: bool = True) -> tuple[DataFrame, dict]:
+def _observed(df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, dict]:
     """``df`` checkpointed, and aggregates of its rows that are taken on the way.
 
     It is cached while the checkpoint is written, for the sake of its size: a
     plain checkpoint keeps the estimate of its plan, where a join counts as the
-    product of its sides, and from step to step that grows without end.  One
-    that isn't ``durable`` is only cached; executors that are lost make it again
-    from the last checkpoint.
+    product of its sides, and from step to step that grows without end.
     """
     seen, cached = Observation(), df.persist()
-    watched = cached.observe(seen, *[c.alias(k) for k, c in facts.items()])
-    if not durable:
-        watched.write.format("noop").mode("overwrite").save()
-        return cached, seen.get
     try:
-        kept = watched.checkpoint()
+        kept = cached.observe(seen, *[c.alias(k) for k, c in facts.items()]).checkpoint()
     finally:
         cached.unpersist()
     return kept, seen.get
 
 
 def _forget(frames: list[DataFrame]) -> None:
-    """Frees what frames that nothing needs any more have cached, or written as checkpoints."""
+    """Deletes the checkpoints of frames that nothing needs any more."""
     for df in frames:
-        plan = df._jdf.queryExecution().logical()
-        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
-        if file is not None and file.isDefined():
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-        df.unpersist()
     frames.clear()
 
 
@@ -303,26 +294,23 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | N
         if isinstance(step, PandasStep):
             done = _pandas(joined, edges.plain, step, context)
         elif isinstance(step, QueryStep):
-            done, aggregate = ask(joined, edges.plain, step, n), step.aggregate
+            done, aggregate = ask(joined, edges.plain, step, n, old), step.aggregate
         else:
             done, aggregate = computed(joined, step.value, step.halt), step.aggregate
         # Halting votes, counts and aggregators while the state is written.
         facts = {"computed": F.count_if("active"), "all": F.coalesce(F.bool_and(F.when(F.col("active"), F.col("halted"))), F.lit(True)), "awake": F.count_if(~F.col("halted"))}
         facts |= {f"agg_{k}": program.aggregators[k].how(F.when(F.col("active"), c)) for k, c in aggregate.items()}
-        # Each few steps a checkpoint; between them the cache will do.
-        durable = number % EVERY == EVERY - 1 or isinstance(step, PregelStep) and (step.edge_value is not None or step.edge_target is not None or bool(step.add_edges))
-        done, row = _observed(done, facts, durable)
+        done, row = _observed(done, facts)
         if isinstance(step, PandasStep):
             messages = done.filter("active").select(F.explode("_sent").alias("_m")).select("_m.dst", "_m.msg")
         elif isinstance(step, PregelStep):
             messages = outbox(done, edges, step.sends)
         inbox, sent = None, 0
         if messages is not None:
-            inbox, seen = _observed(combine(messages, step.combine), count, durable)
+            inbox, seen = _observed(combine(messages, step.combine), count)
             sent = seen["rows"]  # before unknown targets are dropped
-        if durable:
-            _forget(old)
-        old += [x for x in (done, inbox) if x is not None]
+        _forget(old)
+        old = [x for x in (done, inbox) if x is not None]
         if isinstance(step, PregelStep) and (step.edge_value is not None or step.edge_target is not None or step.add_edges):
             edges = Edges(_kept(_changed_edges(edges.plain, done, step)), n)
         for name, a in program.aggregators.items():
@@ -334,8 +322,7 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | N
         if row["all"] and not sent:
             break
         inbox = inbox if sent else None
-    state = _kept(state)
-    _forget(old)
+    _forget(old[1:])
     return Result(state, aggregated, history, edges.plain, time.monotonic() - began)
 
 
