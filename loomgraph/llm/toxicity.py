@@ -68,7 +68,7 @@ class Model:
     keys: np.ndarray
     odds: np.ndarray
     depths: list[int] = field(default_factory=lambda: [0])  # lengths that known prefixes have, descending
-    drift: float = 1.5
+    drift: float = 2.0
     scale: float = 1.0  # lambda
     k: float = 1.0
     weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0])
@@ -293,7 +293,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
     return w.tolist()
 
 
-def fit(train: DataFrame, prior: float = 8.0, drift: float = 1.5) -> Model:
+def fit(train: DataFrame, prior: float = 3.0, drift: float = 2.0) -> Model:
     """The model of labelled ``text, label`` rows; ``prior``: how many texts the prior of a word's share counts as."""
     spark = train.sparkSession
     train = written(train.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")).select("text", "label", "half"), "toxic-train")

@@ -59,7 +59,7 @@ def test_toxicity_by_brute_force(spark):
     words = [a + b for a in ("calm", "day", "vile", "scum", "sun") for b in ("", "s", "ing", "er")]
     weights = {1: np.array([1] * 8 + [4] * 8 + [1] * 4), 0: np.array([4] * 8 + [0.2] * 8 + [4] * 4)}
     rows = [(" ".join(rng.choice(words, int(rng.integers(1, 18)), p=weights[y] / weights[y].sum())), y) for y in rng.integers(0, 2, 120).tolist()]
-    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"), prior=8.0, drift=1.5)
     counts = {}
     for text, y in rows:
         for w in set(text.split()):
