@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import whole, with_group, written
+from .shared import discard, whole, with_group, written
 
 #: Sets and shingles of a block at most (a set's number there takes one byte; a longer text is a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 255, 1 << 21
@@ -342,20 +342,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u <> v").distinct()
     edges = written(both, "links")
-    labels = written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "id"), "labels")
+    table = written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "id"), "labels")
     while True:
+        labels = table.select("id", "label")
         # The smallest label among neighbours; hot nodes are pre-aggregated before the shuffle.
         near = edges.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("id") == F.col("u")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # Labels of labels, aggregated by label first so that one label's rows needn't meet.
         step = written(step, "labels-step")
         up = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        labels_new = step.join(up, "label", "left").select("id", "old", F.coalesce("up", "label").alias("label"))
-        labels_new = written(labels_new, "labels")
-        moved = labels_new.filter("label <> old").limit(1).count()
-        labels = labels_new.select("id", "label")
+        further = written(step.join(up, "label", "left").select("id", "old", F.coalesce("up", "label").alias("label")), "labels")
+        moved = further.filter("label <> old").limit(1).count()
+        discard(table, step)
         if not moved:
-            return labels
+            discard(edges)
+            return further.select("id", "label")
+        table = further
 
 
 def _fits(percent: int) -> Column:
@@ -493,6 +495,7 @@ def _labels(sets: DataFrame, known: DataFrame, percent: int, heads: int) -> Data
     used = lists.filter(is_head)
     hit = _side(lists.filter(~is_head), "a").join(_side(_salted(used.drop("salt")), "b"), ["shingle", "salt"]).filter(_fits(percent))
     tried = written(_suffix_filter(_candidates(hit), sketches, percent), "pairs")
+    spent = [sketches, lists, tried]
     labels = components(_verified(sets, tried, percent).unionByName(known))
     # Those that weren't heads of the shingle yet, and may still link.
     free = lists.filter(~is_head).drop("head")
@@ -500,7 +503,9 @@ def _labels(sets: DataFrame, known: DataFrame, percent: int, heads: int) -> Data
     while True:
         now = free.join(labels.withColumnRenamed("label", "known"), "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
         free = written(_open(now), "open")
+        spent.append(free)
         if free.limit(1).count() == 0:
+            discard(*spent)
             return labels
         # The next heads: members of the classes but the shingle's largest; ranked by salt first, so no task has all sets of a shingle.
         rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("u", "seq"))
@@ -509,10 +514,12 @@ def _labels(sets: DataFrame, known: DataFrame, percent: int, heads: int) -> Data
         differ = _fits(percent) & (F.col("label_a") != F.col("label_b"))
         hit = _side(free, "a", "label").join(_side(_salted(chosen), "b", "label"), ["shingle", "salt"]).filter(differ)
         fresh = written(_suffix_filter(_candidates(hit).join(tried.select("a", "b"), ["a", "b"], "left_anti"), sketches, percent), "pairs")
+        spent += [chosen, fresh]
         free = free.join(chosen.select("shingle", "seq"), ["shingle", "seq"], "left_anti").drop("label", "main")
         if fresh.limit(1).count():
             tried = tried.unionByName(fresh)
             links = written(_verified(sets, fresh, percent), "verified")
+            spent.append(links)
             if links.limit(1).count():
                 labels = _joined(labels, links)
 
@@ -537,7 +544,9 @@ def link_classes(docs: DataFrame, n: int = 5, percent: int = 80, heads: int = 25
     # An id with several texts joins their classes.
     several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).filter("b < most").select("doc_id", "b")
     known = members.join(several, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b")
-    labels = _labels(sets, written(known, "known"), percent, heads)
+    known = written(known, "known")
+    labels = _labels(sets, known, percent, heads)
+    discard(sets, known)
 
     of = labels.select(F.col("id").alias("rep"), "label")
     full = members.join(of, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
