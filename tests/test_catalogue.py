@@ -1,6 +1,7 @@
 """Every registered query over the reference's operators against its SQL."""
 
 import os
+import sys
 
 import duckdb
 import pytest
@@ -37,6 +38,15 @@ def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
 
 
+def test_optional_queries_may_be_taken_out(monkeypatch):
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("loomgraph.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "loomgraph.llm", None)
+    assert set(entry.queries()) == set(catalogue.QUERIES) and set(entry.oracle_sql()) == set(catalogue.ORACLE_SQL)
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
