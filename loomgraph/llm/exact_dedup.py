@@ -44,6 +44,17 @@ def _survivors(keys: DataFrame, n: str, p: str) -> DataFrame:
     return prefixes.filter("_rows > 1").join(lengths, n, "left_semi")
 
 
+#: Surviving (length, prefix) groups up to this number, 12 bytes each, are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_GROUPS = 2_000_000
+
+
+def _split(keyed: DataFrame, n: str, p: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that are settled by length and prefix hash, and those that survive."""
+    groups = written(_survivors(written(keyed.select(n, p), "dedup-keys"), n, p).select(n, p), "dedup-survivors")
+    small = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+    return keyed.join(small, [n, p], "left_anti"), keyed.join(small, [n, p], "left_semi")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128, digest: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -51,24 +62,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``digest`` asks for it everywhere: then the first scan takes it.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("_text"))
-    rows = rows.select("doc_id", F.length("_text").alias("_n"), F.xxhash64(F.substring("_text", 1, prefix)).alias("_p"), F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"))
+    rows = rows.select("doc_id", "_text", F.length("_text").alias("_n"), F.xxhash64(F.substring("_text", 1, prefix)).alias("_p"))
+    full = F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256")
     if digest:
-        keys = written(rows, "dedup-keys")
-        marked = with_group(keys, _survivors(keys, "_n", "_p"), ["_n", "_p"], "_rows")
+        keys = written(rows.select("doc_id", "_n", "_p", full), "dedup-keys")
+        marked = written(with_group(keys, _survivors(keys, "_n", "_p"), ["_n", "_p"], "_rows"), "dedup-hashes")
+        alone, alive = marked.filter("_rows IS NULL"), marked.filter("_rows IS NOT NULL").select("doc_id", "text_sha256")
     else:
-        keys = written(rows.select("doc_id", "_n", "_p"), "dedup-keys")
-        # The second scan hashes what survived; Spark moves no text for it, as the hash is taken before the shuffle.
-        marked = with_group(rows, _survivors(keys, "_n", "_p"), ["_n", "_p"], "_rows").withColumn("text_sha256", F.when(F.col("_rows").isNotNull(), F.col("text_sha256")))
-    read = written(marked.select("doc_id", F.col("_rows").isNotNull().alias("_alive"), "text_sha256"), "dedup-hashes")
-
-    groups = read.filter("_alive").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    settled = read.filter("NOT _alive").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    shared = with_group(read.filter("_alive"), groups, ["text_sha256"], "group_size")
-    return settled.unionByName(shared.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
-
+        alone, alive = _split(rows, "_n", "_p")
+        alone, alive = alone.select("doc_id", F.lit(None).cast("string").alias("text_sha256")), written(alive.select("doc_id", full), "dedup-hashes")
 
-#: Surviving (length, prefix) groups up to this number, 12 bytes each, are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_GROUPS = 2_000_000
+    groups = alive.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    settled = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    shared = with_group(alive, groups, ["text_sha256"], "group_size")
+    return settled.unionByName(shared.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 128) -> DataFrame:
@@ -76,13 +83,10 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     n, p, sha, id_, keep = fresh_names(docs, "n", "p", "sha", "id", "keep")
     text = normalised(F.col(text_col))
     # Each key is computed from the text where it is read; the two columns drop out again.
-    keyed = docs.withColumns({n: F.length(text), p: F.xxhash64(F.substring(text, 1, prefix))})
-    groups = written(_survivors(written(keyed.select(n, p), "dedup-keys"), n, p).select(n, p), "dedup-survivors")
-    small = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-    settled = keyed.join(small, [n, p], "left_anti").select(*docs.columns)
-    alive = written(keyed.join(small, [n, p], "left_semi").withColumn(sha, _digest(F.col(text_col))).select(*docs.columns, sha), "dedup-alive")
+    settled, alive = _split(docs.withColumns({n: F.length(text), p: F.xxhash64(F.substring(text, 1, prefix))}), n, p)
+    alive = written(alive.withColumn(sha, _digest(F.col(text_col))).select(*docs.columns, sha), "dedup-alive")
 
     kept = alive.groupBy(F.col(sha).alias(keep)).agg(F.min(id_col).alias(id_))
     # By hash and id, so that the copies of a hot text are spread; then one of each repeated row.
     stay = alive.join(kept, (alive[sha] == kept[keep]) & alive[id_col].eqNullSafe(kept[id_]), "left_semi")
-    return settled.unionByName(stay.dropDuplicates([sha, id_col]).select(*docs.columns))
+    return settled.select(*docs.columns).unionByName(stay.dropDuplicates([sha, id_col]).select(*docs.columns))
