@@ -36,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from .shared import whole, written
 _WORD = re.compile(r"\w+")
 
 
-_MASK, _FACTOR, _END = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0x110001
+_MASK, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
 def _prefix_keys(word: str, most: int | None = None) -> list[int]:
@@ -57,8 +58,7 @@ def _prefix_keys(word: str, most: int | None = None) -> list[int]:
 
 
 def _word_key(word: str) -> int:
-    h = _prefix_keys(word)[-1]
-    return ((h ^ (h >> 29)) * _FACTOR + _END) & _MASK
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 @dataclass
@@ -91,7 +91,8 @@ class Model:
 class Scores(dict):
     """The score of each word as it comes up, upper case as lower case."""
 
-    MOST = 100_000
+    #: So many words are kept, the first ones that come, as common words come early.
+    MOST = 200_000
 
     def __init__(self, model: Model):
         self._keys, self._odds, self._drift = array("Q", model.keys.tobytes()), model.odds, model.drift
@@ -111,9 +112,9 @@ class Scores(dict):
         low = word.lower()
         at = self._at(_word_key(low))
         if at >= 0:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[word] = found = float(self._odds[at]) - self._drift
+            found = float(self._odds[at]) - self._drift
+            if len(self) < self.MOST:
+                self[word] = found
             return found
         # Words that no labelled text has are rarely met again, so they aren't kept.
         keys = _prefix_keys(low, self._deepest)
