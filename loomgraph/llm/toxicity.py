@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import math
 import re
 from array import array
@@ -308,9 +309,10 @@ def fit(train: DataFrame, prior: float = 3.0, drift: float = 2.0) -> Model:
     order = sorted(range(len(words)), key=words.__getitem__)
     words = [words[i] for i in order]
     clean0, toxic0, clean1, toxic1 = (table.column(c).to_numpy()[order].astype(float) for c in _COUNTS)
+    del table, order
     # All texts, and for each half the counts of the other one.
     prefixes, shared, own = log_odds(words, np.array([toxic0 + toxic1, toxic1, toxic0]), np.array([clean0 + clean1, clean1, clean0]), prior)
-    keys = np.array([*map(_word_key, words), *(_prefix_keys(p)[-1] for p in prefixes)], np.uint64)
+    keys = np.fromiter(itertools.chain(map(_word_key, words), (_prefix_keys(p)[-1] for p in prefixes)), np.uint64, len(words) + len(prefixes))
     by = np.argsort(keys)
     depths = sorted({len(p) for p in prefixes}, reverse=True)
     whole_model, *halves = (Model(keys[by], np.concatenate([o, s])[by].astype(np.float32), depths, drift) for o, s in zip(own, shared, strict=True))
