@@ -86,6 +86,15 @@ def test_whole_performance_tournament(spark):
     assert {r.policy: r.score for r in elastic.collect()} == {"a": 9 * 0.5, "b": 9 * 1.5}
 
 
+def test_combined_scores_with_nulls(spark):
+    """Elasticity that is null adds nothing to a policy's performance."""
+    performance = spark.createDataFrame([(p, *[v] * len(m.PERFORMANCE), 9, 9) for p, v in (("a", 1), ("b", 2))], ["policy", *m.PERFORMANCE, "vps", "eps"])
+    kinds = "policy string, " + ", ".join(f"{c} double" for c in m.ELASTICITY)
+    elastic = spark.createDataFrame([(p, *[0.0 if c == "accuracy_om" else None for c in m.ELASTICITY]) for p in "ab"], kinds)
+    both = m.combined_scores(m.performance_tournament(performance, "policy"), m.elastic_tournament(elastic, "policy"), "policy")
+    assert {r.policy: r.score for r in both.collect()} == {"a": 5 * 1.5 + 2 * 1.0 + 1.0, "b": 5 * 0.5 + 2 * 1.0 + 1.0}
+
+
 def test_run_times(spark, sd):
     states = [("r", 0, 0, "RUN_SUPERSTEP", 0, 3000), ("r", 0, 1, "RUN_SUPERSTEP", 1000, 3500), ("r", 1, 0, "DISTRIBUTE_DATA", 4000, 16000), ("r", 3, 1, "DISTRIBUTE_DATA", 4000, 9000), ("r", 4, 1, "BARRIER", 20000, None)]
     got = m.run_times(spark.createDataFrame(states, "run string, step int, worker int, op string, start_ms long, stop_ms long"), sd).first()
