@@ -65,11 +65,22 @@ def geography_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One superstep
 
 
+_PARTITION_BYTES = 2 << 20
+
+
+def _partitions(edges: DataFrame) -> int:
+    """As many partitions as keep a task's share of the edges the same at every size; adaptive execution would join small ones by their compressed size, in which millions of edges are few bytes."""
+    size = int(str(edges._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // _PARTITION_BYTES)
+
+
 def _all_send(graph: Graph, message, how: str, along: Along = Along.OUT_EDGES) -> DataFrame:
     """What each vertex has in its inbox after every vertex has sent ``message`` along its edges."""
-    state = graph.vertices.select("id", F.col("id").alias("value"), F.lit(False).alias("halted"))
+    n = _partitions(graph.edges)
+    state = graph.vertices.select("id", F.col("id").alias("value"), F.lit(False).alias("halted")).repartition(n, "id")
     done = computed(with_inbox(state, None), None, F.lit(True))
-    inbox = combine(outbox(done, graph.edges, (Send(along, message),)), how)
+    edges = (graph.edges if along is Along.OUT_EDGES else undirected(graph.edges)).repartition(n, "src")
+    inbox = combine(outbox(done, edges, (Send(Along.OUT_EDGES, message),)), how)
     return with_inbox(state, inbox).filter("has_msg")
 
 

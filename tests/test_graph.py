@@ -200,3 +200,19 @@ def test_vertices_that_many_ask(spark):
     """A star of more leaves than a partition's share: all ask its centre."""
     star = spark.range(1, 60_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
     assert algorithms.wcc(Graph.from_edges(star)).values().filter("value = 0").count() == 60_001
+
+
+def test_one_superstep_has_tasks_by_its_edges(spark):
+    """Its edges and vertices are laid out in more partitions as there are more edges, which adaptive execution leaves apart."""
+    import re
+
+    from loomgraph.plans.graph_queries import _all_send
+
+    def laid_out(n):
+        edges = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        plan = _all_send(Graph.from_edges(edges), F.col("value"), "min")._jdf.queryExecution().optimizedPlan().toString()
+        return [int(k) for k in re.findall(r"RepartitionByExpression \[\w+#\d+L?\], (\d+)", plan)]
+
+    assert laid_out(1_000) == [4, 4, 4]  # the edges, and the vertices as senders and as receivers
+    few, many = laid_out(5_000_000), laid_out(50_000_000)
+    assert len(set(many)) == 1 and few[0] > 4 and many[0] >= 9 * few[0]
