@@ -319,8 +319,7 @@ def tournament_performance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tournament_combined_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of elasticity and of performance, each of its whole tournament."""
     each = _rounded(m.elasticity(supply_demand(spark, sf_dir)), 9)
-    means = each.groupBy(_policy()).agg(*[F.round(F.avg(c), 9).alias(c) for c in m.ELASTICITY])
-    return m.combined_scores(_whole_performance(spark, sf_dir), m.elastic_tournament(means, "policy"), "policy")
+    return m.combined_scores(_whole_performance(spark, sf_dir), m.elastic_tournament(m.elastic_means(each, _policy()), "policy"), "policy")
 
 
 @query(f"WITH {RUNS}, x AS (SELECT dataset, policy, max_by(run, started_ms * 1000000 + run) AS newest, min_by(run, started_ms * 1000000 + run) AS oldest FROM ru GROUP BY ALL) SELECT * FROM x")

@@ -95,6 +95,22 @@ def test_combined_scores_with_nulls(spark):
     assert {r.policy: r.score for r in both.collect()} == {"a": 5 * 1.5 + 2 * 1.0 + 1.0, "b": 5 * 0.5 + 2 * 1.0 + 1.0}
 
 
+def test_elastic_means_round_as_sql(spark):
+    """A mean that ends in a half is rounded as the SQL does it, so that policies tie in both or in neither."""
+    import duckdb
+
+    runs = [("a", 0.760962448), ("a", 0.760962449), ("b", 0.760962449), ("b", 0.760962449)]
+    each = spark.createDataFrame([(p, *[v] * len(m.ELASTICITY)) for p, v in runs], ["policy", *m.ELASTICITY])
+    means = m.elastic_means(each, "policy")
+    expected = {p: duckdb.execute("SELECT round(?, 9)", [sum(v for q, v in runs if q == p) / 2]).fetchone()[0] for p in "ab"}
+    assert as_pairs(means.select("policy", "wrong_u")) == expected
+    assert as_pairs(m.elastic_tournament(means, "policy")) == {"a": 9 * 1.0, "b": 9 * 1.0}
+
+
+def as_pairs(df):
+    return {r[0]: r[1] for r in df.collect()}
+
+
 def test_run_times(spark, sd):
     states = [("r", 0, 0, "RUN_SUPERSTEP", 0, 3000), ("r", 0, 1, "RUN_SUPERSTEP", 1000, 3500), ("r", 1, 0, "DISTRIBUTE_DATA", 4000, 16000), ("r", 3, 1, "DISTRIBUTE_DATA", 4000, 9000), ("r", 4, 1, "BARRIER", 20000, None)]
     got = m.run_times(spark.createDataFrame(states, "run string, step int, worker int, op string, start_ms long, stop_ms long"), sd).first()
