@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import itertools
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, NullType, StructType
 
 from ..graph import Graph, undirected
 from ..sources.shared import shared_folder
@@ -44,6 +46,12 @@ class Result:
         return self.state.select("id", F.col("value").alias(name))
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where states, inboxes and edges are written."""
+    use_shared_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def use_shared_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to the folder that ``spark.checkpoint.dir`` names; a local session may do without the setting."""
     context = spark.sparkContext
@@ -95,10 +103,10 @@ class Edges:
         share = max(10_000, total // n)
         hubs = [(r.src, -(-r.k // share)) for r in degrees.filter(F.col("k") > 2 * share).collect()]  # fewer than n / 2
         if not hubs:
-            return _kept(edges.repartition(n, "src")), None
+            return _kept(edges.repartition(n, "src"), ("src",), n, ordered=True), None
         spread = edges.sparkSession.createDataFrame(hubs, f"_hub {edges.schema['src'].dataType.simpleString()}, _salts int")
         salted = edges.join(F.broadcast(spread), F.col("src") == F.col("_hub"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("dst"), "_salts"), F.lit(0)).cast("int"))
-        return _kept(salted.drop("_hub", "_salts").repartition(n, "src", "_salt")), spread
+        return _kept(salted.drop("_hub", "_salts").repartition(n, "src", "_salt"), ("src", "_salt"), n, ordered=True), spread
 
 
 def outbox(done: DataFrame, edges: Edges | DataFrame | None, sends: tuple[Send, ...]) -> DataFrame | None:
@@ -160,7 +168,7 @@ def ask(joined: DataFrame, edges: DataFrame, step: QueryStep, partitions: int, p
     asked = joined.withColumn("active", now).withColumn("old_value", F.col("value"))
     if step.query_value is not None:
         asked = asked.withColumn("value", F.when(now, step.query_value.cast(kind)).otherwise(F.col("value")))
-    asked, seen = _observed(asked, {"queries": F.sum(F.when(F.col("active"), F.size(step.queries)))})
+    asked, seen = _observed(asked, {"queries": F.sum(F.when(F.col("active"), F.size(step.queries)))}, ("id",), partitions)
     past.append(asked)
     queries = asked.filter("active").select(F.col("id").alias("src"), F.explode(step.queries).alias("_q")).select("src", F.col("_q.dst").alias("dst"), F.col("_q.s").alias("s"))
     target = asked.select(F.col("id").alias("_target"), "value")
@@ -214,6 +222,17 @@ def _pandas(joined: DataFrame, edges: DataFrame, step: PandasStep, context: Cont
     return joined.groupBy("id").cogroup(edges.withColumnRenamed("src", "id").groupBy("id")).applyInPandas(one, schema)
 
 
+#: What holds inside the loop: a task reads one bucket, and writes it without a sort.
+_SETTINGS = {
+    "spark.sql.adaptive.enabled": "false",
+    "spark.sql.sources.bucketing.enabled": "true",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.optimizer.plannedWrite.enabled": "false",
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
+}
+
+
 def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_steps: int | None = None, partitions: int | None = None) -> Result:
     """Runs the program until every computed vertex votes to halt and nothing has been sent.
 
@@ -225,48 +244,94 @@ def run(graph: Graph, program: VertexProgram, params: dict | None = None, max_st
     use_shared_checkpoints(spark)
     params = params or {}
     program.load(params)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         return _loop(graph, program, params, max_steps, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _storable(kind: DataType) -> bool:
+    """Whether Parquet files hold the type."""
+    if isinstance(kind, StructType):
+        return all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, (NullType, CalendarIntervalType))
 
 
-def _observed(df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, dict]:
-    """``df`` checkpointed, and aggregates of its rows that are taken on the way.
+def _observed(df: DataFrame, facts: dict[str, Column], keys: tuple[str, ...] = (), n: int = 0, ordered: bool = False) -> tuple[DataFrame, dict]:
+    """``df`` written to files and read back, and aggregates of its rows that are taken on the way.
+
+    With ``keys`` it lies in ``n`` buckets by them, which joins and groups by them
+    read without a shuffle, and, if ``ordered``, without a sort.
+    """
+    seen, spark = Observation(), df.sparkSession
+    voids = [f.name for f in df.schema.fields if isinstance(f.dataType, NullType)]
+    columns = df.columns
+    df = df.drop(*voids)
+    if not _storable(df.schema):
+        return _checkpointed(df, facts, seen, voids, columns)
+    path, name = f"{_folder(spark)}/superstep-{uuid.uuid4().hex}", f"spark_catalog.default.superstep_{uuid.uuid4().hex}"
+    writer = df.observe(seen, *[c.alias(k) for k, c in facts.items()]).write.format("parquet").option("path", path)
+    if keys:
+        writer = writer.bucketBy(n, *keys)
+        if ordered:
+            writer = writer.sortBy(*keys)
+    writer.saveAsTable(name)
+    kept = spark.table(name)
+    kept.schema  # read from the catalogue before the table is taken out of it; its files stay
+    spark.sql(f"DROP TABLE {name}")
+    kept = _with_voids(kept, voids, columns)
+    kept._written_to = path
+    return kept, seen.get
+
+
+def _checkpointed(df: DataFrame, facts: dict[str, Column], seen: Observation, voids: list[str], columns: list[str]) -> tuple[DataFrame, dict]:
+    """As ``_observed``, for types that files don't hold.
 
     It is cached while the checkpoint is written, for the sake of its size: a
     plain checkpoint keeps the estimate of its plan, where a join counts as the
     product of its sides, and from step to step that grows without end.
     """
-    seen, cached = Observation(), df.persist()
+    cached = df.persist()
     try:
         kept = cached.observe(seen, *[c.alias(k) for k, c in facts.items()]).checkpoint()
     finally:
         cached.unpersist()
+    file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    kept = _with_voids(kept, voids, columns)
+    kept._written_to = file.get() if file.isDefined() else None
     return kept, seen.get
 
 
+def _with_voids(df: DataFrame, voids: list[str], columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None) for c in voids}).select(*columns) if voids else df
+
+
 def _forget(frames: list[DataFrame]) -> None:
-    """Deletes the checkpoints of frames that nothing needs any more."""
+    """Deletes the files of frames that nothing needs any more."""
     for df in frames:
-        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        if df._written_to:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     frames.clear()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return _observed(df, {"rows": F.count(F.lit(1))})[0]
+def _kept(df: DataFrame, keys: tuple[str, ...] = (), n: int = 0, ordered: bool = False) -> DataFrame:
+    return _observed(df, {"rows": F.count(F.lit(1))}, keys, n, ordered)[0]
 
 
 def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | None, n: int) -> Result:
     count = {"rows": F.count(F.lit(1))}
     plain, edge_facts = _observed(graph.edges, count)
     edges = Edges(plain, n)
-    ids, vertex_facts = _observed(graph.vertices.select("id").repartition(n, "id"), count)
+    ids, vertex_facts = _observed(graph.vertices.select("id").repartition(n, "id"), count, ("id",), n)
     sizes = (vertex_facts["rows"], edge_facts["rows"])
     aggregated = {k: a.initial for k, a in program.aggregators.items()}
     context = Context(0, *sizes, aggregated, params)
@@ -276,7 +341,7 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | N
     constant = [c for c in state.columns if c != "id"]
     # As the element of an array: a plain copy of the id would take over the partitioning's name, which joins by id look for.
     first = F.element_at(F.array(program.initial(context)), 1)
-    state = _kept(state.withColumn("value", first).withColumn("halted", F.lit(False)).repartition(n, "id"))
+    state = _kept(state.withColumn("value", first).withColumn("halted", F.lit(False)).repartition(n, "id"), ("id",), n)
     inbox: DataFrame | None = None
     old: list[DataFrame] = [state]
     history: list[dict] = []
@@ -300,14 +365,14 @@ def _loop(graph: Graph, program: VertexProgram, params: dict, max_steps: int | N
         # Halting votes, counts and aggregators while the state is written.
         facts = {"computed": F.count_if("active"), "all": F.coalesce(F.bool_and(F.when(F.col("active"), F.col("halted"))), F.lit(True)), "awake": F.count_if(~F.col("halted"))}
         facts |= {f"agg_{k}": program.aggregators[k].how(F.when(F.col("active"), c)) for k, c in aggregate.items()}
-        done, row = _observed(done, facts)
+        done, row = _observed(done, facts, ("id",), n)
         if isinstance(step, PandasStep):
             messages = done.filter("active").select(F.explode("_sent").alias("_m")).select("_m.dst", "_m.msg")
         elif isinstance(step, PregelStep):
             messages = outbox(done, edges, step.sends)
         inbox, sent = None, 0
         if messages is not None:
-            inbox, seen = _observed(combine(messages, step.combine), count)
+            inbox, seen = _observed(combine(messages, step.combine), count, ("dst",), n)
             sent = seen["rows"]  # before unknown targets are dropped
         _forget(old)
         old = [x for x in (done, inbox) if x is not None]

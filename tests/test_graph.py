@@ -216,3 +216,31 @@ def test_one_superstep_has_tasks_by_its_edges(spark):
     assert laid_out(1_000) == [4, 4, 4]  # the edges, and the vertices as senders and as receivers
     few, many = laid_out(5_000_000), laid_out(50_000_000)
     assert len(set(many)) == 1 and few[0] > 4 and many[0] >= 9 * few[0]
+
+
+def test_states_are_written_once_in_buckets(spark):
+    """A step's rows are written by one job into files that are read by column, without a cache and a second pass."""
+    g = Graph.from_edges(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string"))
+    result = algorithms.wcc(g)
+    plan = result.state._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Scan ExistingRDD" not in plan
+    assert as_dict(result.values()) == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("superstep")]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+class Spans(VertexProgram):
+    """A value of a type that files don't hold."""
+
+    def initial(self, context: Context):
+        return F.expr("make_interval(0, 0, 0, CAST(id AS int))")
+
+    def step(self, context: Context):
+        sends = (Send(Along.OUT_EDGES, F.lit(1)),) if context.step == 0 else ()
+        return PregelStep(F.lit(True), None, sends, "sum")
+
+
+def test_values_that_files_do_not_hold(spark):
+    result = run(Graph.from_edges(spark.createDataFrame([(1, 2)], "src long, dst long")), Spans())
+    assert [r["targets"] for r in result.history] == [1, 0]
+    assert as_dict(result.values().select("id", F.col("value").cast("string"))) == {1: "1 days", 2: "2 days"}
