@@ -3,17 +3,17 @@
 A superstep joins the state with the inbox, projects the new state, joins the
 computed vertices with the edges they send along, and groups what they send by
 target, which Spark combines before the shuffle.  Each step's state and inbox
-are checkpointed, so a long run neither grows its plan nor loses its past with
+are written to files, so a long run neither grows its plan nor loses its past with
 an executor; those of the step before are then deleted.
 
 State, inbox and edges are hash-partitioned by vertex into the same number of
-partitions, and checkpoints keep that, so the messages' shuffle is the only one
+buckets, so the messages' shuffle is the only one
 of a step: neither state nor edges move.  Adaptive execution would forget the
 partitioning of what it has run and shuffle both again in every step, so it is
 off inside the loop.  What it would do about skew is done when edges are laid
 out: vertices with more edges than a fair share of a partition, which can't be
 many, have them spread by salt.  Votes, counts and aggregators are observed
-while the checkpoints are written, without a job of their own.
+while the files are written, without a job of their own.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def _changed_edges(edges: DataFrame, done: DataFrame, step: PregelStep) -> DataF
 def ask(joined: DataFrame, edges: DataFrame, step: QueryStep, partitions: int, past: list[DataFrame]) -> DataFrame:
     """The state after a query-answer-process step: ``msg`` holds the gathered answers at ``process``.
 
-    The checkpoint of what the queries wrote goes to ``past``, for the caller to delete.
+    The frame of what the queries wrote goes to ``past``, for the caller to delete.
 
     Answers see the values that all queries wrote, and none that processing writes.
     Vertices that are asked more often than twice a partition's fair share are
